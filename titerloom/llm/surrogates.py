@@ -76,8 +76,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     break
                 names.add(part.group())
                 out.append((a + part.start(), a + part.end(), "name"))
-        for name in names:  # later mentions without the title
-            out += [(m.start(), m.end(), "name") for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text)]
+        for name in {n.lower() for n in names}:  # other mentions, without the title or in other case
+            out += [(m.start(), m.end(), "name") for m in re.finditer(rf"(?<!\w)(?i:{re.escape(name)})(?!\w)", text) if m.group()[0].isupper()]
     out.sort(key=lambda e: (e[0], -e[1]))
     kept: list[tuple[int, int, str]] = []
     for e in out:
