@@ -111,3 +111,17 @@ def test_tags(spark):
     df = spark.createDataFrame([([" a ", "source : L", ""], ["a", "b"], None)], "x array<string>, y array<string>, z array<string>")
     assert df.select(K.union_tags(F.col("x"), F.col("y"), F.col("z"))).first()[0] == ["a", "source:l", "b"]
     assert df.select(S.user_tags(F.array(F.lit("noRange"), F.lit("mine"), F.lit("group:x")))).first()[0] == ["mine"]
+
+
+def test_display_helpers(spark):
+    from titerloom.operators import display
+
+    assert [tuple(r) for r in values(spark, display.unit_pair, ["g/L | mg/dL", " g ", " | x", ""])] == [("g/L", "mg/dL", True), ("g", None, False), (None, "x", True), (None, None, False)]
+    assert values(spark, display.json_object, ['```json\n{"a": {"b": 1}}\n``` done', "none", "} {"]) == ['{"a": {"b": 1}}', None, None]
+    df = spark.createDataFrame([([(2, " b "), (1, "a"), (3, " ")],)], "p array<struct<index:int,text:string>>")
+    assert df.select(display.page_text(F.col("p"))).first()[0] == "a\n\nb"
+    df = spark.createDataFrame([(["x", "source:lab-one"], "f"), (["x"], " f "), ([], "")], "t array<string>, f string")
+    assert [r[0] for r in df.select(display.source_label(F.col("t"), F.col("f"))).collect()] == ["lab-one", "f", "—"]
+    groups = spark.createDataFrame([("Blood", 10)], "name string, display_order int")
+    names = spark.createDataFrame([("Urine",), ("Blood",), (" ",), ("Air",)], "name string")
+    assert {tuple(r) for r in display.new_groups(names, groups).collect()} == {("Blood", 10), ("Air", 20), ("Urine", 30)}
