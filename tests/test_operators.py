@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from titerloom.operators import coverage, effective, history, logspans, rules, search, sets, timeline
 from titerloom.sources import bundle, files

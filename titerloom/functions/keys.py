@@ -141,7 +141,7 @@ def rule_task_key(type_id: Column, original: Column, target: Column) -> Column:
 
 
 def measurement_of_task(key: Column) -> Column:
-    return F.expr("cast(null as bigint)") if key is None else F.regexp_extract(key, r"^measurement:(\d+)$", 1).try_cast("bigint")
+    return F.regexp_extract(key, r"^measurement:(\d+)$", 1).try_cast("bigint")
 
 
 def slug(x: Column) -> Column:

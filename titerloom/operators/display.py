@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from titerloom.functions import keys as K
 from titerloom.functions import numbers as N
 
-MORE = {"uploaded": "Waiting", "queued": "Queued", "processing": "Processing", "complete": "Ready", "error": "Failed"}
+#: Labels of the file states.
+STATES = {"uploaded": "Waiting", "queued": "Queued", "processing": "Processing", "complete": "Ready", "error": "Failed"}
 
 
 def text_filter(rows: DataFrame, typed: str, *columns: str) -> DataFrame:
@@ -28,7 +29,7 @@ def suggestions(tags: DataFrame, typed: str, chosen: list[str]) -> DataFrame:
 def processing_label(status: Column, covered: Column, pages: Column, ready: Column, total: Column) -> Column:
     counted = F.concat(F.lit("Reading "), covered.cast("string"), F.lit("/"), pages.cast("string"))
     rules = F.concat(F.lit("Normalising "), ready.cast("string"), F.lit("/"), total.cast("string"))
-    plain = F.try_element_at(F.create_map(*[F.lit(x) for p in MORE.items() for x in p]), status)
+    plain = F.try_element_at(F.create_map(*[F.lit(x) for p in STATES.items() for x in p]), status)
     return F.when((status == "processing") & (covered < pages), counted).when((status == "processing") & (ready < total), rules).otherwise(F.coalesce(plain, status))
 
 

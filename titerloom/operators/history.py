@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from titerloom.functions import numbers as N
 from titerloom.functions import status as S
 
-ORDER = F.struct
 POINT = ("id", "ts", "file_id", "value", "text", "flag", "missing", "low", "high")
 
 

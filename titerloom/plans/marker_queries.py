@@ -85,9 +85,6 @@ def last8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.last_rows(rows, 8).select(F.col("m").alias("marker"), "file_id", "id", F.col("rn").cast("long").alias("rn"))
 
 
-_FIN = "CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c}) THEN {c} END"
-
-
 @query(f"""WITH {R} SELECT marker, count(value) AS value_count, min(value) AS value_min, max(value) AS value_max, count(DISTINCT file_id) AS file_count,
 count(low) AS low_count, min(low) AS low_min, max(low) AS low_max, count(high) AS high_count, min(high) AS high_min, max(high) AS high_max FROM r WHERE value IS NOT NULL GROUP BY marker""")
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +125,6 @@ def qualitative_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.qualitative_trend(results(spark, sf_dir).withColumn("marker", F.concat_ws(":", "marker", F.col("file_id").cast("string"))))
 
 
-NUMBER_SQL = "CASE WHEN {v} IS NULL THEN NULL WHEN {v} = floor({v}) THEN format('{{:.0f}}', {v}) ELSE regexp_replace(format('{{:.2f}}', {v}), '\\.00$', '') END"
-
-
 @query(f"""WITH {R} SELECT id, group_name AS group_label, CASE WHEN text IS NOT NULL THEN text WHEN value IS NULL THEN '—' ELSE CAST(value AS VARCHAR) END AS value_label,
 CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN '5–100' WHEN low IS NOT NULL THEN 'Low 5' WHEN high IS NOT NULL THEN 'High 100' ELSE '—' END AS range_label,
 CASE WHEN flag THEN 'positive' WHEN NOT flag THEN 'normal' WHEN value IS NULL THEN 'neutral' WHEN value < low THEN 'low' WHEN value > high THEN 'high' WHEN low IS NULL AND high IS NULL THEN 'neutral' ELSE 'normal' END AS class

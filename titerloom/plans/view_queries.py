@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from titerloom.functions import numbers as N
 from titerloom.functions import status as S
 from titerloom.operators import coverage, display, history, reports
-from titerloom.plans import adapters as A
 from titerloom.plans.marker_queries import OVERVIEW, R, results
 from titerloom.plans.registry import query
 
