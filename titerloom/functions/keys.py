@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titerloom.functions.binding import let
+
 WHITE = r"(?U)\s+"
 PUNCTUATION = ".:;,()[]{}"
 
@@ -52,6 +54,11 @@ def to_ascii(x: Column) -> Column:
     return F.when(F.char_length(x) == F.octet_length(x), x).otherwise(F.array_join(each, ""))
 
 
+def folded(x: Column) -> Column:
+    """to_ascii of an expression worth computing once."""
+    return let(x, to_ascii)
+
+
 def unit_key(unit: Column, decimal_comma: bool = True) -> Column:
     """Units alike in this key are the same unit; decimal_comma=False is the client's form."""
     x = strip(unit)
@@ -113,9 +120,11 @@ def clean_qualitative(x: Column) -> Column:
 
 
 def qualitative_key(x: Column) -> Column:
-    y = strip_chars(to_ascii(clean_qualitative(x)), PUNCTUATION)
-    words = F.trim(F.regexp_replace(F.replace(y, F.lit("-"), F.lit(" ")), WHITE, " "))
-    return blank_to_null(F.when(F.rlike(y, F.lit(r"^[+\-/]+$")), y).otherwise(words))
+    def key(y: Column) -> Column:
+        words = F.trim(F.regexp_replace(F.replace(y, F.lit("-"), F.lit(" ")), WHITE, " "))
+        return blank_to_null(F.when(F.rlike(y, F.lit(r"^[+\-/]+$")), y).otherwise(words))
+
+    return let(strip_chars(folded(clean_qualitative(x)), PUNCTUATION), key)
 
 
 def search_text(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titerloom.functions.binding import let
 from titerloom.functions.keys import clean_qualitative, strip, unit_key
 
 #: Powers of ten of the metric prefixes of a unit key.
@@ -22,15 +23,18 @@ def parse_number(text: Column) -> Column:
     x = strip(text)
     x = F.regexp_replace(x, r"(?<=\d)\s+(?=\d{3}(?!\d))", "")
     x = F.regexp_replace(x, r"(\d)\s+(\d)", "$1.$2")
-    one = F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) == 1
-    x = F.when(one, F.regexp_replace(x, r"(\d),(\d)", "$1.$2")).otherwise(x)
-    return finite(F.regexp_replace(x, r"\s+", "").try_cast("double"))
+
+    def decimal(y: Column) -> Column:
+        one = F.length(y) - F.length(F.replace(y, F.lit(","), F.lit(""))) == 1
+        y = F.when(one, F.regexp_replace(y, r"(\d),(\d)", "$1.$2")).otherwise(y)
+        return F.regexp_replace(y, r"\s+", "").try_cast("double")
+
+    return let(let(x, decimal), finite)
 
 
 def parse_value(text: Column) -> Column:
     """struct(number, text): one of the two is null."""
-    n = parse_number(text)
-    return F.struct(n.alias("number"), F.when(n.isNull(), clean_qualitative(text)).alias("text"))
+    return let(parse_number(text), lambda n: F.struct(n.alias("number"), F.when(n.isNull(), clean_qualitative(text)).alias("text")))
 
 
 def parse_positive_int(text: Column) -> Column:

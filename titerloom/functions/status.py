@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titerloom.functions.binding import let
 from titerloom.functions.keys import clean_qualitative
 from titerloom.functions.numbers import finite
 
@@ -14,9 +15,13 @@ _THRESHOLD = r"^(<=|>=|<|>)\s*(\d+(?:[.,]\d+)?)"
 def threshold(text: Column) -> Column:
     """struct(op, limit) of `<5`, `≥ 1,5` and the like; both null otherwise."""
     x = F.replace(F.replace(clean_qualitative(text), F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
-    op = F.nullif(F.regexp_extract(x, _THRESHOLD, 1), F.lit(""))
-    limit = finite(F.replace(F.regexp_extract(x, _THRESHOLD, 2), F.lit(","), F.lit(".")).try_cast("double"))
-    return F.struct(F.when(limit.isNotNull(), op).alias("op"), F.when(op.isNotNull(), limit).alias("limit"))
+
+    def parts(y: Column) -> Column:
+        op = F.nullif(F.regexp_extract(y, _THRESHOLD, 1), F.lit(""))
+        limit = F.replace(F.regexp_extract(y, _THRESHOLD, 2), F.lit(","), F.lit(".")).try_cast("double")
+        return let(let(limit, finite), lambda n: F.struct(F.when(n.isNotNull(), op).alias("op"), F.when(op.isNotNull(), n).alias("limit")))
+
+    return let(x, parts)
 
 
 def threshold_status(op: Column, t: Column, low: Column, high: Column) -> Column:
@@ -33,26 +38,26 @@ def _close(a: Column, b: Column) -> Column:
 
 def threshold_result(text: Column, low: Column, high: Column) -> Column:
     """struct(text, flag) a threshold text amounts to, or null."""
-    op, t = threshold(text)["op"], threshold(text)["limit"]
-    status = threshold_status(op, t, low, high)
-    less = op.isin("<", "<=")
 
     def result(word: Column | str, flag: Column | bool) -> Column:
         return F.struct((F.lit(word) if isinstance(word, str) else word).alias("text"), (F.lit(flag) if isinstance(flag, bool) else flag).alias("flag"))
 
-    both = low.isNotNull() & high.isNotNull()
-    by_status = F.when(status.isNotNull(), result(status, status.isin("low", "high")))
-    at_high = F.when(less, result("negative", False)).otherwise(result("positive", True))
-    at_low = F.when(less, result("positive", True)).otherwise(result("negative", False))
-    return F.when(op.isNull(), F.lit(None)).when(both, by_status).when(_close(t, high), at_high).when(_close(t, low), at_low).otherwise(by_status)
+    def decided(th: Column, status_: Column) -> Column:
+        less = th["op"].isin("<", "<=")
+        by_status = F.when(status_.isNotNull(), result(status_, status_.isin("low", "high")))
+        at_high = F.when(less, result("negative", False)).otherwise(result("positive", True))
+        at_low = F.when(less, result("positive", True)).otherwise(result("negative", False))
+        both = low.isNotNull() & high.isNotNull()
+        return F.when(th["op"].isNull(), F.lit(None)).when(both, by_status).when(_close(th["limit"], high), at_high).when(_close(th["limit"], low), at_low).otherwise(by_status)
+
+    return let(threshold(text), lambda th: let(threshold_status(th["op"], th["limit"], low, high), lambda s: decided(th, s)))
 
 
 def status(value: Column, text: Column, flag: Column, missing: Column, low: Column, high: Column) -> Column:
     """A result's status against a range; missing: its unit could not be converted."""
-    limit = threshold(text)
-    return (
-        F.when(threshold_status(limit["op"], limit["limit"], low, high).isNotNull(), threshold_status(limit["op"], limit["limit"], low, high))
-        .when(flag, F.lit("positive"))
+    by_threshold = let(threshold(text), lambda th: threshold_status(th["op"], th["limit"], low, high))
+    rest = (
+        F.when(flag, F.lit("positive"))
         .when(~flag, F.lit("negative"))
         .when(missing | value.isNull(), F.lit("no_range"))
         .when(value < low, F.lit("low"))
@@ -60,6 +65,7 @@ def status(value: Column, text: Column, flag: Column, missing: Column, low: Colu
         .when(low.isNotNull() | high.isNotNull(), F.lit("in_range"))
         .otherwise(F.lit("no_range"))
     )
+    return F.coalesce(by_threshold, rest)
 
 
 def range_position(value: Column, missing: Column, low: Column, high: Column) -> Column:

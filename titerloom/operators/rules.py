@@ -59,7 +59,8 @@ def apply_rules(rows: DataFrame, types: DataFrame, aliases: DataFrame, unit_rule
     ruled = F.coalesce("__has_rule", F.lit(False))
     dead_rule = numeric & ~same & ruled & F.col("factor").isNull()
     factor = F.when(same, F.lit(1.0)).when(ruled, F.col("factor"))
-    hit = S.threshold_result(F.col("original_text"), low, high)
+    r = r.withColumn("__hit", S.threshold_result(F.col("original_text"), low, high))
+    hit = F.col("__hit")
     has_word = F.coalesce("__has_word", F.lit(False))
 
     need_unit = ~untyped & numeric & no_target
