@@ -36,9 +36,9 @@ PROBES = 5
 BITS = 1.44 * PROBES  # of the filter for each entry: half of them are set
 MIX = 0.5
 MAX_BROADCAST = 400_000_000
-RANGE_TEXT = 64_000_000  # bytes of training text to a hash range
+RANGE_TEXT = 16_000_000  # bytes of training text to a hash range
 SLAB = 1 << 20  # bytes of text hashed at once
-HELD = 1 << 22  # hashes a task holds before it counts them
+HELD = 1 << 20  # hashes a task holds before it counts them
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U = np.uint64
 _rng = np.random.default_rng(42)
@@ -189,7 +189,7 @@ def _merge_range(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     parts = [unpacked(b) for b in rows["blob"]]
     h, c = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     if order == 1:
-        blob = h.tobytes() + c.tobytes()
+        blob = h.tobytes() + (c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c).tobytes()
     else:
         q = level(c)
         size = max(64, math.ceil(BITS * q.sum() / 64) * 64)
@@ -206,41 +206,49 @@ class Model:
 
     def __init__(self, blocks: list[tuple[int, int, int, bytes]], bits: int, n: int, v: int, rows: int):
         self.bits, self.n, self.v, self.rows = bits, n, v, rows
-        words = sorted((r, k, b) for o, r, k, b in blocks if o == 1)
-        self.hash = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(b, np.uint64, k) for _, k, b in words])
-        self.count = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(b, np.int64, k, 8 * k) for _, k, b in words])
-        pairs = {r: b for o, r, _, b in blocks if o == 2}
-        sizes = [len(pairs.get(r, b"")) for r in range(1 << bits)]
-        self.filter = np.frombuffer(b"".join(pairs.get(r, b"") for r in range(1 << bits)), np.uint8)
-        self.size = np.array(sizes, np.uint64) * U(8)
-        self.offset = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.uint64) * U(8)
+        #: Views of the broadcast bytes, by range; nothing is copied.
+        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        for order, where, k, blob in blocks:
+            if order == 1:
+                self.words[where] = np.frombuffer(blob, np.uint64, k), np.frombuffer(blob, np.uint32 if len(blob) == 12 * k else np.int64, k, 8 * k)
+            else:
+                self.filters[where] = np.frombuffer(blob, np.uint8)
+
+    def _by_range(self, h: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The stretches of sorted hashes that lie in each range."""
+        cuts = np.searchsorted(h, np.arange(1 << self.bits, dtype=np.uint64) << U(64 - self.bits)).tolist() + [len(h)]
+        return ((r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Of words."""
-        if not len(self.hash):
-            return np.zeros(len(h), np.int64)
         known, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hash, known), len(self.hash) - 1)
-        return np.where(self.hash[at] == known, self.count[at], 0)[back]
+        out = np.zeros(len(known), np.int64)
+        for r, part in self._by_range(known):
+            if r in self.words:
+                keys, count = self.words[r]
+                at = np.minimum(np.searchsorted(keys, known[part]), len(keys) - 1)
+                out[part] = np.where(keys[at] == known[part], count[at], 0)
+        return out[back]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Of pairs."""
-        where = (h >> U(64 - self.bits)).astype(np.int64)
-        q = np.zeros(len(h), np.int64)
-        alive = np.flatnonzero(self.size[where] > 0)
-        k = 0
-        while alive.size:
-            k += 1
-            size, offset = self.size[where[alive]], self.offset[where[alive]]
-            places = None
-            rest, g = np.arange(alive.size), mixed(h[alive] + _salt(k))
-            step = (g >> U(32)) | U(1)
-            for i in range(PROBES):
-                at = offset[rest] + ((g[rest] & U(0xFFFFFFFF)) + U(i) * step[rest]) % size[rest]
-                rest = rest[(self.filter[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
-            alive = alive[rest]
-            q[alive] = k
-        return q
+        known, back = np.unique(h, return_inverse=True)
+        q = np.zeros(len(known), np.int64)
+        for r, part in self._by_range(known):
+            if r in self.filters:
+                bits, mine = self.filters[r], known[part]
+                size, alive, k = U(len(bits) * 8), np.arange(len(mine)), 0
+                while alive.size:
+                    k += 1
+                    g = mixed(mine[alive] + _salt(k))
+                    step, rest = (g >> U(32)) | U(1), np.arange(alive.size)
+                    for i in range(PROBES):
+                        at = ((g[rest] & U(0xFFFFFFFF)) + U(i) * step[rest]) % size
+                        rest = rest[(bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
+                    alive = alive[rest]
+                    q[part.start + alive] = k
+        return q[back]
 
     def log10(self, c: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Base and model log-probabilities from counts of the word, of the one before, and of the pair."""
