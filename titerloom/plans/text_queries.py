@@ -57,3 +57,10 @@ def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
     return docs.select("doc_id", F.lit(True).alias("ok"), F.size(K.text_tokens(F.col("line"))).cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n FROM documents""")
+def text_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of whole texts; text_tokens is held to the first line by its SQL."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", K.text_tokens(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).cast("long").alias("n"))
