@@ -135,6 +135,14 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "group_label", "value_label", "range_label", "class")
 
 
+@query(f"""WITH {R} SELECT id, group_name AS group_label, CASE WHEN text IS NOT NULL THEN text WHEN value IS NULL THEN '—' ELSE regexp_replace(format('{{:.2f}}', value), '\\.00$', '') END AS value_label,
+CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN '5–100' WHEN low IS NOT NULL THEN 'Low 5' WHEN high IS NOT NULL THEN 'High 100' ELSE '—' END AS range_label,
+CASE WHEN flag THEN 'positive' WHEN NOT flag THEN 'normal' WHEN value IS NULL THEN 'neutral' WHEN value < low THEN 'low' WHEN value > high THEN 'high' WHEN low IS NULL AND high IS NULL THEN 'neutral' ELSE 'normal' END AS class FROM r""")
+def report_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display columns of all results; report_rows is held to those without a number by its SQL."""
+    return reports.report_rows(results(spark, sf_dir)).select("id", "group_label", "value_label", "range_label", "class")
+
+
 @query("""SELECT l_orderkey AS k, l_linenumber AS line, l_extendedprice AS price, regexp_replace(format('{:.2f}', l_extendedprice), '\\.00$', '') AS shown FROM lineitem""")
 def value_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -286,6 +294,12 @@ def threshold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", S.status(F.col("value"), F.col("text"), F.col("flag"), F.col("missing"), F.col("low"), F.col("high")).alias("status"))
 
 
+@query(f"""WITH {R} SELECT id, {status_sql('value', 'text', 'flag', 'missing', 'low', 'high')} AS status FROM r""")
+def threshold_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of all results; threshold_status is held to those with text by its SQL."""
+    return results(spark, sf_dir).select("id", S.status(F.col("value"), F.col("text"), F.col("flag"), F.col("missing"), F.col("low"), F.col("high")).alias("status"))
+
+
 @query(f"""WITH {R} SELECT file_id, id, rn FROM (SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, id DESC) AS rn FROM r) WHERE rn <= 10""")
 def recent_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy(F.desc("ts"), F.desc("id"))
