@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titerloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from titerloom.llm import bpe, decontaminate, line_dedup, shingle_sets, toxicity
 from titerloom.llm.common import join_rows, load, materialize, shared_dir, text_hash
 from titerloom.llm.queries import tokenizer_path
 
@@ -34,8 +34,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, the one with the least doc_id stays."""
-    groups = materialize(simhash.near_duplicates(docs), "groups")
+    """Of documents linked by a 5-word Jaccard similarity of 0.8 or more, the one with the least doc_id stays."""
+    groups = materialize(shingle_sets.near_duplicates(docs), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "thash")).alias("first")).select("first.doc_id", "first.thash", F.lit(True).alias("__first"))
     left = join_rows(docs.withColumn("thash", text_hash()), first)
     if groups.groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
