@@ -6,7 +6,7 @@ turns these into language probabilities; a text's are the mean over its windows.
 On one-hot bytes a filter is a sum of table look-ups, one for each of its taps.
 
 Trained in numpy on labelled text: up to PER_LANG rows a language, chosen by a hash of
-the id, and up to PER_TEXT windows of each, spread over the whole text, so the sample
+id and text, and up to PER_TEXT windows of each, spread over the whole text, so the sample
 is bounded. Scoring is one pass over the table, whole texts, without a shuffle.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; so is
@@ -21,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import id_crc
+from titerloom.llm.common import bounded_broadcast, id_crc, join_rows, materialize, text_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_LANG = 500
 PER_TEXT = 4
+#: The sample is drawn this much too large, as the languages' sizes are estimated, and then cut; it is read in so many parts.
+MARGIN, PARTS = 1.3, 32
+MAX_BROADCAST = 200_000
 SLAB = 256  # windows scored at once
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -132,13 +135,28 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["x", "lang"])
 
 
-def train_network(docs: DataFrame, held_out: Column, per_lang: int = PER_LANG) -> Network | None:
-    known = docs.where(F.col("lang").isNotNull() & ~held_out)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+def training_rows(docs: DataFrame, held_out: Column, per_lang: int) -> DataFrame | None:
+    """text, lang of rows that aren't held out, equal rows once; of more than per_lang of a
+    language those of the least hash of id and text, so that rows of one id, or without, are
+    chosen each on its own."""
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out).select("doc_id", text_hash().alias("thash"), "text", "lang")
+    keys = rows.select("doc_id", "thash", "lang", F.xxhash64("doc_id", "thash", F.lit(8)).alias("at"))
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1_000_000, int(1_000_000 * per_lang / n) + 1))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, (MARGIN * per_lang + 100) / max(n, 1)) * 1_000_000) + 1)])
+    near = keys.where(F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < share[F.col("lang")]).distinct()
+    first = Window.partitionBy("lang").orderBy("at", F.col("doc_id").asc_nulls_first(), "thash")
+    chosen = near.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_lang)
+    chosen = materialize(chosen.select("thash", "doc_id", F.col("lang").alias("__lang")), "chosen")
+    train = join_rows(rows, bounded_broadcast(chosen, MAX_BROADCAST)).where("lang = __lang")
+    return train.dropDuplicates(["doc_id", "thash", "lang"]).repartition(PARTS, "doc_id", "thash").select("text", "lang")
+
+
+def train_network(docs: DataFrame, held_out: Column, per_lang: int = PER_LANG) -> Network | None:
+    chosen = training_rows(docs, held_out, per_lang)
+    if chosen is None:
+        return None
     rows = chosen.mapInPandas(_sampled, "x binary, lang string").toPandas().sort_values(["lang", "x"], ignore_index=True)
     if rows.empty:
         return None

@@ -10,12 +10,12 @@ counted many times. Classifier: logistic regression on the voters' firings and
 counts, fitted to the label model's posteriors, scores whole texts.
 
 Training reads a bounded sample: at most MAX_TRAIN labelled rows, chosen by a hash
-of the id, and at most VOTERS voters; scoring reads every text in one pass over
+of id and text, and at most VOTERS voters; scoring reads every text in one pass over
 the table without a shuffle.
 
 Defined cases: null or empty text fires no voter and is scored like any text
 without one; without labelled rows of both classes every score is 0; null toxic
-or doc_id in labels is ignored; several labels of one id train with each; extra
+or doc_id in labels is ignored; several labels of one id train with each, equal ones once; extra
 columns are ignored.
 """
 
@@ -29,10 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import id_crc
+from titerloom.llm.common import id_crc, materialize, text_hash
 
 MAX_TRAIN = 20_000
 VOTERS = 200
+#: The sample is drawn this much too large, as its table's size is estimated, and then cut; it is read in so many parts.
+MARGIN, PARTS = 1.3, 32
 #: Lengths of the word beginnings that stand as voters, marked by a star.
 STEMS = (4, 5)
 MIN_SUPPORT = 8
@@ -58,12 +60,18 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int) -> DataFrame:
-    """text, toxic of the labelled rows that aren't held out, max_rows or about so many."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, max_rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # At most about max_rows narrow rows: bounded whatever the table's size.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    """text, toxic of the labelled rows that aren't held out, equal rows once; of more than max_rows
+    those of the least hash of id and text, so that rows of one id are chosen each on its own."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    rows = docs.where("doc_id is not null").select("doc_id", text_hash().alias("thash"), "text")
+    keys = rows.select("doc_id", "thash", F.xxhash64("doc_id", "thash").alias("at")).join(known, "doc_id")
+    n = keys.agg(F.approx_count_distinct(F.struct("at", "toxic"))).first()[0]
+    share = int(min(1.0, (MARGIN * max_rows + 100) / max(n, 1)) * 1_000_000)
+    near = keys.where(F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < share).distinct()
+    # At most max_rows narrow rows: bounded whatever the table's size or its most frequent id.
+    chosen = materialize(near.orderBy("at", "doc_id", "thash", "toxic").limit(max_rows).select("doc_id", "thash", "toxic"), "chosen")
+    train = rows.join(F.broadcast(chosen), ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash", "toxic"])
+    return materialize(train.repartition(PARTS, "doc_id", "thash").select("text", "toxic"), "training")
 
 
 def choose_voters(train: DataFrame, voters: int) -> list[str]:
