@@ -115,21 +115,48 @@ def test_decontamination(spark, docs, empty):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(df, bench).collect()}
     assert got == brute_contamination(list(enumerate(texts)), items)
-    limits = decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_DOCS
-    decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_DOCS = 0
+    limit, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
     try:
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(df, bench).collect()} == got
     finally:
-        decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_DOCS = limits
+        decontaminate.BROADCAST_ROWS = limit
     assert decontaminate.contamination(docs, bench).count() == docs.count()
     assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def brute_near(docs, items, width, slop):
+    """Items with a window whose distinct words all lie in some span of its length and slop words more."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = {}
+    for d, t in docs:
+        w, found = cut(t), set()
+        for i, text in items:
+            x = cut(text)
+            for s in range(max(1, len(x) - width + 1) if x else 0):
+                need = set(x[s : s + width])
+                span = len(x[s : s + width]) + slop
+                if any(need <= set(w[k : k + span]) for k in range(max(1, len(w) - span + 1))):
+                    found.add(i)
+        out[d] = len(found - {None})
+    return out
+
+
 def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "a four b three c two d one e"), (2, "one two three"), (3, "one " + "x " * 30 + "two three four")], "doc_id long, text string")
-    assert [tuple(r) for r in decontaminate.proximity(df, bench, width=4, slop=4).collect()] == [(1, 1)]
+    bench = [(1, "one two three four"), (2, prose(500, 14)), (3, "gone gone gone"), (None, "one two three four"), (4, "solo")]
+    texts = ["a four b three c two d one e", "one two three", "one " + "x " * 30 + "two three four", None, "", "gone solo", "one one two one three x x x four " + "y " * 40, "one two x x x x three four"]
+    texts += [" ".join(sorted(prose(500, 14).split()[k : k + 6], reverse=bool(k % 2))) + " " + prose(k) for k in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(df, spark.createDataFrame(bench, "item_id long, text string"), width=4, slop=4).collect()}
+    assert got == brute_near(enumerate(texts), bench, 4, 4) and got[0] == 1 and got[1] == 0 and got[5] == 2
+
+
+def test_postings_of_repeated_and_long_rows(spark):
+    phrase = prose(500, 10)
+    rows = [(7, "x " * 3000 + phrase + " y" * 3000), (7, "x " * 3000 + phrase + " y" * 3000), (None, phrase), (None, phrase), (8, phrase)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("term", F.lit(1)).withColumn("id", F.lit("a"))
+    got = decontaminate.contamination(df, spark.createDataFrame([(1, phrase), (2, phrase)], "item_id long, text string"), slop=5).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["n_near"]) for r in got) == [("7", 6010, 10, 2, 2)] * 2 + [("8", 10, 10, 2, 2)] + [("None", 10, 10, 2, 2)] * 2
 
 
 def test_lines(spark, docs, empty):

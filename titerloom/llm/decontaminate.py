@@ -1,23 +1,27 @@
 """Op 7: benchmark decontamination over a distributed positional inverted index.
 
 1. Benchmark texts become windows of ``width`` words (a shorter text: one window).
-2. One pass over the corpus counts the benchmark's words.
-3. Each window takes its ``anchors`` rarest words, at their offsets.
-4. A second pass stores postings (row, word, position) of the anchor words.
-5. Postings meet the windows on the word; position minus offset is the start they
-   speak for. Starts that all anchors of a window agree on survive: the
-   intersection of offset-adjusted lists, begun from the rarest terms.
-6. Survivors return to their row, where the window's remaining words are compared
-   at that start (exact phrase, by a 64-bit hash of the words in order), or where
-   all words of the window must lie near the anchor (proximity).
-
-Only anchor postings are stored: frequent words never make long lists. Words of
-the benchmark are broadcast up to BROADCAST_ROWS entries, and shuffled beyond.
-
-Defined cases: null or empty text has no words and no hit; null item ids are
-matched but not listed or counted as items; benchmark rows without words have no
-window; repeated rows get the same result each; an empty benchmark contaminates
-nothing; columns other than doc_id, text, item_id are ignored.
+2. One pass over the corpus counts the benchmark's words. A window with a word that the
+   corpus lacks can't occur and is let go; the others rank their words, rarest first.
+3. A second pass stores the index: postings (row, term, position) of each window's two
+   rarest words, and a posting of END for each row at the place after its last word, which
+   is the row's number of words.
+4. Only the rarest word's postings meet the windows: position less offset is the start they
+   speak for. The second list is then probed at start plus its own offset.
+5. What survives is probed at all its other offsets, by the postings of the documents that
+   still have a candidate; starts that every word of the window confirms are phrases.
+6. Proximity: where the two rarest words lie within ``slop`` words more than the window,
+   the other words' postings near by decide whether some span of that length holds them all.
+
+Frequent words never make long lists: neither stored but for END, nor expanded. Word
+lists and row keys are broadcast up to BROADCAST_ROWS narrow rows, and shuffled beyond;
+texts of candidate documents alone meet candidates.
+
+Defined cases: null or empty text has no words and no hit; null item ids are matched but
+not listed or counted as items; benchmark rows without words have no window; repeated rows
+get the same result each; ties of rarity go by offset and change no result; a very long
+text is so many postings, never one list; an empty corpus has no rows and an empty
+benchmark contaminates nothing; columns other than doc_id, text, item_id are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 
 from titerloom.llm.common import ascii_lower, bounded_broadcast, is_ascii, join_rows, materialize, one_of, text_hash
 
+#: Rows of at most a few words each, some 100 bytes: about 100 MB.
 BROADCAST_ROWS = 1_000_000
-#: Rows with candidates that are broadcast back to the texts; each holds a few hundred bytes.
-BROADCAST_DOCS = 20_000
 SEPARATORS = one_of("".join(chr(c) for c in range(128) if not chr(c).isalnum())) + "+"
+#: Stands after a row's last word; no word is it, as words hold no control characters.
+END = "\u0001"
+ROW = ("doc_id", "thash")
 
 
 def raw_words(text: Column) -> Column:
@@ -45,93 +51,146 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """item_id, phrase (hash of the words in order), words."""
+    """item_id, phrase (the window's words, space-joined), words."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
     cut = items.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), width).alias("words"))
-    return cut.select("item_id", F.xxhash64("words").alias("phrase"), "words").distinct()
+    return cut.select("item_id", F.array_join("words", " ").alias("phrase"), "words").distinct()
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
+def tokens_of(docs: DataFrame, end: bool = False) -> DataFrame:
+    """doc_id, thash, pos (from 0), word; with END after each row's last word if asked."""
     # Hash and split first: beside a generator they would be computed again for each token.
-    rows = docs.select("doc_id", text_hash().alias("thash"), is_ascii(F.col("text")).alias("ascii"), raw_words(F.col("text")).alias("words"))
+    words = raw_words(F.col("text"))
+    rows = docs.select("doc_id", text_hash().alias("thash"), is_ascii(F.col("text")).alias("ascii"), (F.array_append(words, END) if end else words).alias("words"))
     tokens = rows.select("doc_id", "thash", "ascii", F.posexplode("words").alias("pos", "word"))
     return tokens.withColumn("word", F.when(F.col("ascii"), F.col("word")).otherwise(ascii_lower(F.col("word")))).drop("ascii")
 
 
-def anchors_of(phrases: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
-    """phrase, len, word, offset, bit of each window's rarest words; need: the window's full mask."""
-    terms = phrases.select("phrase", F.size("words").alias("len"), F.posexplode("words").alias("offset", "word"))
-    ranked = terms.join(counts, "word", "left").withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "offset")))
-    return ranked.where(F.col("rank") <= anchors).select(
-        "phrase", "len", "word", "offset", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.expr(f"shiftleft(1, least(len, {anchors})) - 1").alias("need")
-    )
-
-
-def candidates(docs: DataFrame, phrases: DataFrame, anchors: int) -> DataFrame:
-    """doc_id, thash, phrase, len, start of every place where all anchors of a window agree."""
-    vocabulary = materialize(phrases.select(F.explode("words").alias("word")).distinct(), "vocabulary")
+def ranked_terms(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """id, len, kinds (distinct words), offset, word, rank (rarest first) and kind_rank (the
+    same over distinct words) of the windows whose words all occur in docs."""
+    terms = materialize(phrases.select("id", F.size("words").alias("len"), F.size(F.array_distinct("words")).alias("kinds"), F.posexplode("words").alias("offset", "word")), "terms")
+    vocabulary = terms.select("word").distinct()
     counts = tokens_of(docs).select("word").join(bounded_broadcast(vocabulary, BROADCAST_ROWS), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    anchor = materialize(anchors_of(phrases, counts, anchors), "anchors")
-    wanted = bounded_broadcast(anchor.select("word").distinct(), BROADCAST_ROWS)
-    postings = materialize(tokens_of(docs).join(wanted, "word"), "postings")
-    placed = postings.join(bounded_broadcast(anchor, BROADCAST_ROWS), "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    agreed = placed.groupBy("doc_id", "thash", "phrase", "len", "start", "need").agg(F.bit_or("bit").alias("bits"))
-    return agreed.where("bits = need").drop("bits", "need")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, anchors: int = 3) -> DataFrame:
-    """One row per document: doc_id, thash, n_words, n_hit, n_items, items (sorted strings)."""
+    rarest = Window.partitionBy("id").orderBy("n", "word", "offset")
+    known = terms.join(counts, "word").withColumn("rank", F.row_number().over(rarest)).withColumn("kind_rank", F.dense_rank().over(Window.partitionBy("id").orderBy("n", "word")))
+    present = known.withColumn("present", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("present = len").drop("present", "n")
+    return materialize(present, "ranked-terms")
+
+
+def index_of(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index (doc_id, thash, term, pos) of every window's two rarest words and of END,
+    and its terms (word, term); END is term -1."""
+    indexed = terms.where("rank <= 2 or kind_rank <= 2").select("word").distinct()
+    named = materialize(indexed.withColumn("term", F.monotonically_increasing_id()), "indexed-words")
+    wanted = named.union(named.sparkSession.createDataFrame([(END, -1)], "word string, term long"))
+    postings = tokens_of(docs, end=True).join(bounded_broadcast(wanted, BROADCAST_ROWS), "word").select(*ROW, "term", "pos")
+    return materialize(postings, "postings"), named
+
+
+def anchors_of(terms: DataFrame, named: DataFrame, rank: str) -> DataFrame:
+    """id, len, kinds, term_1, off_1, term_2, off_2 (null where a window has one word)."""
+    two = terms.where(F.col(rank) <= 2).join(bounded_broadcast(named, BROADCAST_ROWS), "word")
+    of = lambda k: F.min(F.when(F.col(rank) == k, F.struct("offset", "term")))
+    both = two.groupBy("id", "len", "kinds").agg(of(1).alias("a"), of(2).alias("b"))
+    return materialize(both.select("id", "len", "kinds", F.col("a.term").alias("term_1"), F.col("a.offset").alias("off_1"), F.col("b.term").alias("term_2"), F.col("b.offset").alias("off_2")), "anchors")
+
+
+def _met(x: DataFrame, y: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """x joined to y where they are of one row and fulfil `on`, a condition on x and y."""
+    return x.alias("x").join(y.alias("y"), F.expr(f"x.doc_id <=> y.doc_id and x.thash = y.thash and {on}"), how)
+
+
+def _rarest_places(postings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """doc_id, thash, p and the window's anchors, for every posting of its rarest word."""
+    return postings.withColumnRenamed("term", "term_1").join(bounded_broadcast(anchors, BROADCAST_ROWS), "term_1").withColumnRenamed("pos", "p")
+
+
+def _second_lists(postings: DataFrame, anchors: DataFrame) -> DataFrame:
+    seconds = anchors.where("term_2 is not null").select(F.col("term_2").alias("term")).distinct()
+    return postings.join(bounded_broadcast(seconds, BROADCAST_ROWS), "term", "left_semi").select(*ROW, "term", "pos")
+
+
+def _candidate_tokens(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """tokens_of() the documents that have a candidate."""
+    keys = materialize(candidates.select(*ROW).distinct(), "candidate-rows")
+    rows = docs.select("doc_id", "text", text_hash().alias("thash"))
+    keys = bounded_broadcast(keys, BROADCAST_ROWS)
+    return tokens_of(_met(rows, keys, "true").select("doc_id", "text"))
+
+
+def phrase_places(docs: DataFrame, phrases: DataFrame, terms: DataFrame, postings: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, thash, id, start, len of every occurrence of a window."""
+    anchors = anchors_of(terms, named, "rank")
+    starts = _rarest_places(postings, anchors).withColumn("start", F.col("p") - F.col("off_1")).where("start >= 0").drop("p")
+    second = _second_lists(postings, anchors)
+    both = starts.where("term_2 is not null")
+    met = _met(both, second, "x.term_2 = y.term and x.start + x.off_2 = y.pos")
+    left = met.unionByName(starts.where("term_2 is null")).select(*ROW, "id", "len", "start").distinct()
+    left = materialize(left, "candidates")
+    asked = left.join(bounded_broadcast(phrases.select("id", "words"), BROADCAST_ROWS), "id").select(*ROW, "id", "len", "start", F.posexplode("words").alias("offset", "word"))
+    asked = asked.withColumn("pos", F.col("start") + F.col("offset"))
+    tokens = _candidate_tokens(docs, left).distinct()
+    agreed = _met(asked, tokens, "x.pos = y.pos and x.word = y.word")
+    return materialize(agreed.groupBy(*ROW, "id", "len", "start").agg(F.count(F.lit(1)).alias("n")).where("n = len").drop("n"), "phrases")
+
+
+def near_places(docs: DataFrame, phrases: DataFrame, terms: DataFrame, postings: DataFrame, named: DataFrame, found: DataFrame, slop: int) -> DataFrame:
+    """doc_id, thash, id of every window all of whose distinct words lie, in any order, in some
+    span of its own length and slop words more; those found as phrases need no second look."""
+    anchors = anchors_of(terms, named, "kind_rank").withColumn("span", F.col("len") + slop)
+    widest = anchors.agg(F.max("span")).first()[0] or 1
+    block = lambda pos: F.floor(pos / widest).cast("int")
+    three = F.explode(F.array(*[block(F.col("p")) + k for k in (-1, 0, 1)])).alias("block")
+    places = _rarest_places(postings, anchors).select(*ROW, "id", "kinds", "span", "p", "term_2")
+    both, second = places.where("term_2 is not null").select("*", three), _second_lists(postings, anchors).withColumn("block", block(F.col("pos")))
+    met = _met(both, second, "x.term_2 = y.term and x.block = y.block and abs(x.p - y.pos) < x.span")
+    left = met.drop("block").unionByName(places.where("term_2 is null")).select(*ROW, "id", "kinds", "span", "p").distinct()
+    known = found.select(*ROW, "id").distinct()
+    left = materialize(_met(left, known, "x.id = y.id", "left_anti"), "near-candidates")
+    asked = left.join(bounded_broadcast(phrases.select("id", "words"), BROADCAST_ROWS), "id").select(*ROW, "id", "kinds", "span", "p", F.explode(F.array_distinct("words")).alias("word")).select("*", three)
+    tokens = _candidate_tokens(docs, left).distinct().withColumn("block", block(F.col("pos")))
+    seen = _met(asked, tokens, "x.word = y.word and x.block = y.block and abs(x.p - y.pos) < x.span", "inner").select("x.doc_id", "x.thash", "id", "kinds", "span", "p", "y.pos", "x.word")
+    # At most 2 * span - 1 places stand around one anchor.
+    around = seen.groupBy(*ROW, "id", "kinds", "span", "p").agg(F.collect_set(F.struct("pos", "word")).alias("at")).where(F.size("at") >= F.col("kinds"))
+    whole = F.exists(F.sequence(F.col("p") - F.col("span") + 1, F.col("p")), lambda s: F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["pos"].between(s, s + F.col("span") - 1)), lambda x: x["word"]))) == F.col("kinds"))
+    return materialize(around.where(whole).select(*ROW, "id").distinct().unionByName(known), "near")
+
+
+def _items(found: DataFrame, windows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, thash, item (text) of every item that has one of the windows found."""
+    named = windows.where(F.col("item_id").isNotNull()).join(phrases.select("phrase", "id"), "phrase").select("id", F.col("item_id").cast("string").alias("item")).distinct()
+    return found.select(*ROW, "id").distinct().join(named, "id").select(*ROW, "item").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int | None = None) -> DataFrame:
+    """One row per document: doc_id, thash, n_words, n_hit, n_items, items (sorted strings),
+    and n_near, the items with a window near together, if slop is given."""
     windows = materialize(windows_of(benchmark, width), "windows")
-    phrases = windows.groupBy("phrase").agg(F.first("words").alias("words"))
-    found = candidates(docs, phrases, anchors).groupBy("doc_id", "thash").agg(F.collect_list(F.struct("start", "len", "phrase")).alias("places"))
-    found = materialize(found, "candidates")
-    rows = docs.select("doc_id", text_hash().alias("thash"), raw_words(F.col("text")).alias("raw"))
-    joined = join_rows(rows, bounded_broadcast(found, BROADCAST_DOCS), "left")
-    joined = joined.withColumn("words", F.when(F.col("places").isNotNull(), F.transform("raw", ascii_lower)))
-    exact = F.filter("places", lambda p: F.xxhash64(F.slice(F.col("words"), p["start"] + 1, p["len"])) == p["phrase"])
-    hits = joined.select("doc_id", "thash", F.size("raw").cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), exact).alias("hits"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["start"], p["start"] + p["len"] - 1))))
-    hits = materialize(
-        hits.select(
-            "doc_id",
-            "thash",
-            "n_words",
-            F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
-            F.array_distinct(F.transform("hits", lambda p: p["phrase"])).alias("phrases"),
-        ),
-        "hits",
-    )
-    found = hits.where("n_hit > 0").select("doc_id", "thash", F.explode("phrases").alias("phrase")).distinct()
-    named = windows.where(F.col("item_id").isNotNull()).select("phrase", F.col("item_id").cast("string").alias("item"))
-    pairs = found.join(named, "phrase").select("doc_id", "thash", "item").distinct()
-    items = pairs.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return join_rows(hits, items, "left").select(
-        "doc_id",
-        "thash",
+    phrases = materialize(windows.groupBy("phrase").agg(F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()), "window-ids")
+    terms = ranked_terms(docs, phrases)
+    postings, named = index_of(docs, terms)
+    places = phrase_places(docs, phrases, terms, postings, named)
+    # Words covered: each start's longest window, less what earlier ones reach.
+    starts = places.groupBy(*ROW, "start").agg((F.col("start") + F.max("len")).alias("end"))
+    reached = F.max("end").over(Window.partitionBy(*ROW).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    cover = starts.withColumn("new", F.greatest(F.col("end") - F.greatest("start", F.coalesce(reached, F.lit(0))), F.lit(0))).groupBy(*ROW).agg(F.sum("new").cast("long").alias("n_hit"))
+    items = _items(places, windows, phrases).groupBy(*ROW).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = join_rows(cover, items, "left")
+    near = []
+    if slop is not None:
+        n_near = _items(near_places(docs, phrases, terms, postings, named, places, slop), windows, phrases).groupBy(*ROW).agg(F.count(F.lit(1)).alias("n_near"))
+        # Every phrase is near as well, so that near rows are all rows found, but for items without an id.
+        found = join_rows(found.select(*ROW).union(n_near.select(*ROW)).distinct(), found, "left")
+        found, near = join_rows(found, n_near, "left"), [F.coalesce("n_near", F.lit(0)).alias("n_near")]
+    found = materialize(found, "found")
+    rows = postings.where("term = -1").select(*ROW, F.col("pos").cast("long").alias("n_words"))
+    return join_rows(rows, bounded_broadcast(found, BROADCAST_ROWS // 10), "left").select(
+        *ROW,
         "n_words",
-        "n_hit",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.when(F.col("items").isNotNull(), F.size("items")).otherwise(0).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        *near,
     )
-
-
-def proximity(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id, item_id of every window all of whose distinct words lie, in any order,
-    within width + slop words around a place of its rarest word."""
-    windows = materialize(windows_of(benchmark, width), "windows")
-    phrases = windows.groupBy("phrase").agg(F.first("words").alias("words"))
-    vocabulary = materialize(phrases.select(F.explode("words").alias("word")).distinct(), "vocabulary")
-    counts = tokens_of(docs).select("word").join(bounded_broadcast(vocabulary, BROADCAST_ROWS), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    anchor = materialize(anchors_of(phrases, counts, 1).join(phrases, "phrase").select("word", "phrase", "words"), "anchors")
-    wanted = bounded_broadcast(anchor.select("word").distinct(), BROADCAST_ROWS)
-    postings = materialize(tokens_of(docs).join(wanted, "word"), "postings")
-    span = width + slop
-    places = postings.join(bounded_broadcast(anchor, BROADCAST_ROWS), "word").groupBy("doc_id", "thash").agg(F.collect_list(F.struct("pos", "phrase", "words")).alias("places"))
-    rows = docs.select("doc_id", text_hash().alias("thash"), words_of(F.col("text")).alias("doc"))
-    joined = join_rows(rows, places)
-    # A window of span words around pos starts between pos - span + 1 and pos.
-    spans = joined.select("doc_id", "thash", "doc", F.explode("places").alias("p")).select("doc_id", "thash", "doc", "p", F.explode(F.sequence(F.greatest(F.col("p.pos") - span + 2, F.lit(1)), F.col("p.pos") + 1)).alias("s"))
-    met = spans.where(F.size(F.array_except("p.words", F.slice("doc", F.col("s"), span))) == 0)
-    found = met.select("doc_id", "thash", F.col("p.phrase").alias("phrase")).distinct()
-    return found.join(windows, "phrase").select("doc_id", "item_id").distinct()

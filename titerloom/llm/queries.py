@@ -11,6 +11,8 @@ from titerloom.llm.common import load
 #: A parameter: where the tokenizer file lies when the package that holds it can't be asked.
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = [1.0] * 8
+#: Words that may stand between those of a benchmark window for it to count as near.
+SLOP = 5
 #: Of the demonstration query; a real run passes its own secret.
 SURROGATE_KEY = b"titerloom demonstration key"
 
@@ -50,9 +52,9 @@ def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    out = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), slop=SLOP)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +170,24 @@ placed AS (
   FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM doc, size_of WHERE len(w) >= size)),
 hit AS (SELECT doc_id, item, s, placed.size FROM placed JOIN window_of USING (phrase, size)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hit) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+kinds AS (SELECT phrase, size, list_distinct(string_split(phrase, ' ')) AS words FROM (SELECT DISTINCT phrase, size FROM window_of)),
+token AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
+freq AS (SELECT word, count(*) AS n FROM token GROUP BY word),
+anchor AS (
+  SELECT phrase, any_value(size) AS size, any_value(words) AS words, arg_min(word, (n, word)) AS word
+  FROM (SELECT phrase, size, words, unnest(words) AS word FROM kinds) JOIN freq USING (word)
+  GROUP BY phrase HAVING count(*) = any_value(len(words))),
+span AS (
+  SELECT doc_id, phrase, words, w[s:s + size + {SLOP} - 1] AS around
+  FROM (SELECT t.doc_id, phrase, words, size, w, unnest(generate_series(greatest(1, p - size - {SLOP} + 1), p)) AS s
+        FROM token t JOIN anchor USING (word) JOIN doc ON doc.doc_id = t.doc_id)),
+near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near
+  FROM (SELECT DISTINCT doc_id, phrase FROM span WHERE list_has_all(around, words)) JOIN window_of USING (phrase) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 ORACLES = {"op2_line_dedup": OP2_SQL, "op5_rendezvous_shards": OP5_SQL, "op7_decontaminate": OP7_SQL}
