@@ -22,7 +22,7 @@ rows share a class; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,16 +30,30 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from titerloom.llm.common import materialize, text_hash
 from titerloom.llm.graph import components
+from titerloom.llm.shingle_sets import band_keys, set_links, set_name, shingles
 
 RADIUS = 3
 SHINGLE = 3
 HOT = 8192
 SLAB = 1 << 15  # rows compared at once, beside the last group's
 BLOCK = 64  # words abandoned together
+PART = 1 << 14  # shingles hashed at once
+
+
+def bit_majority(parts: Iterable[np.ndarray]) -> int:
+    """Of all hashes together, the bits set in over half, as an unsigned integer."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in parts:
+        n += len(h)
+        # Bit k of all eight bytes at once, each byte a counter of up to 255 rows.
+        lanes = np.zeros((8, -(-len(h) // 255) * 255), np.uint64)
+        lanes[:, : len(h)] = (h >> np.arange(8, dtype=np.uint64)[:, None]) & np.uint64(0x0101010101010101)
+        counts += lanes.reshape(8, -1, 255).sum(2, dtype=np.uint64).view(np.uint8).reshape(8, -1, 8).sum(1, dtype=np.int64).T.ravel()
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str | None) -> int:
@@ -53,14 +67,8 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, n, counts = xxhash.xxh64_intdigest, len(first), np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(first[at : at + (1 << 14)], last[at : at + (1 << 14)], strict=True)], np.uint64)
-        # Bit k of all eight bytes at once, each byte a counter of up to 255 rows.
-        lanes = np.zeros((8, -(-len(h) // 255) * 255), np.uint64)
-        lanes[:, : len(h)] = (h >> np.arange(8, dtype=np.uint64)[:, None]) & np.uint64(0x0101010101010101)
-        counts += lanes.reshape(8, -1, 255).sum(2, dtype=np.uint64).view(np.uint8).reshape(8, -1, 8).sum(1, dtype=np.int64).T.ravel()
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return bit_majority(np.array([digest(line[a:b], 42) for a, b in zip(first[at : at + PART], last[at : at + PART], strict=True)], np.uint64) for at in range(0, len(first), PART))
 
 
 @F.pandas_udf(LongType())
@@ -200,5 +208,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(member.select("fp", "root"), "fp").join(named, "root").select("doc_id", "thash", "fp", "root", "component_id")
 
 
+SIGNATURE = StructType().add("skey", LongType()).add("n", IntegerType()).add("fp", LongType()).add("bands", ArrayType(LongType()))
+
+
+@F.pandas_udf(SIGNATURE)
+def _signatures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """A text's shingle set: its name, size, fingerprint and bands."""
+    for batch in texts:
+        sets = [shingles(t) for t in batch]
+        fps = np.array([bit_majority([s.view(np.uint64)]) for s in sets], np.uint64).view(np.int64)
+        yield pd.DataFrame({"skey": [set_name(s) for s in sets], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]})
+
+
+def similar_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, thash, root for every row of docs: root names the component of texts linked by
+    a 5-word Jaccard similarity of 0.8 or more. Links of fingerprints within the radius come
+    first; as similar sets lie up to FAR bits apart, bands find the others, and the whole
+    sets decide on each (shingle_sets)."""
+    rows = materialize(docs.select("doc_id", text_hash().alias("thash"), _signatures("text").alias("s")).select("doc_id", "thash", "s.*"), "signatures")
+    classes = materialize(rows.groupBy("skey").agg(F.min(F.struct("thash", "n", "fp", "bands")).alias("c")).select("skey", "c.*"), "set-classes")
+    named = materialize(classes.groupBy("fp").agg(F.min("skey").alias("name")), "named-fingerprints")
+    near = fingerprint_links(named.select("fp"), radius)
+    u, v = (named.select(F.col("fp").alias(k), F.col("name").alias(f"name_{k}")) for k in "uv")
+    links = near.join(u, "u").join(v, "v").select(F.col("name_u").alias("u"), F.col("name_v").alias("v"))
+    same = classes.join(named, "fp").where("skey <> name").select(F.col("name").alias("u"), F.col("skey").alias("v"))
+    root = set_links(docs, classes, links.union(same).distinct())
+    return rows.join(root, rows["skey"] == root["node"], "left").select("doc_id", "thash", F.coalesce("root", "skey").alias("root"))
+
+
 def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
