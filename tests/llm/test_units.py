@@ -146,6 +146,34 @@ def test_filter_never_loses_a_level():
     assert (model.levels(strange) > 0).mean() < 0.1
 
 
+def test_probabilities_add_up_to_one_at_most():
+    """Over all words and one unknown, after words with many and few followers."""
+    import pandas as pd
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefghijklmnopqrst") * r.choice((1, 2)) for _ in range(300)) for _ in range(40)] + ["v " + "abcdefghijklmnopqrst"[i % 20] for i in range(40)]
+    toks, befores = (np.concatenate(x) for x in zip(*[(t, b) for _, _, _, t, b in ngram_bloom.tokens(texts)], strict=True))
+    one, two = (np.unique(x, return_counts=True) for x in (toks, ngram_bloom.pair_hash(befores, toks)))
+    blocks = [(k, 0, *ngram_bloom._merge_range((k, 0), pd.DataFrame({"blob": [ngram_bloom.packed(*x)]})).loc[0, ["n", "blob"]]) for k, x in ((1, one), (2, two))]
+    model = ngram_bloom.Model(blocks, 0, len(toks), len(one[0]), len(texts))
+    words = np.concatenate((one[0], np.array([12345], np.uint64)))
+    count = model.counts(words)
+    assert (count[:-1] == one[1]).all()
+    for v, c in zip(words, count, strict=True):
+        pair = ngram_bloom.level_count(model.levels(ngram_bloom.pair_hash(np.full_like(words, v), words)))
+        flat, full = model.log10(count, np.full_like(count, c), pair)
+        assert (10.0**flat).sum() <= 1 + 1e-9 and 0.5 < (10.0**full).sum() <= 1 + 1e-9
+
+
+def test_long_texts_are_hashed_alike_in_blocks(monkeypatch):
+    text = " ".join(random.Random(1).choice(("a", "bc", "def" * 40, "x" * 900)) for _ in range(2000)) + "  "
+    whole = [x.copy() for x in ngram_bloom._hashed(text.encode())]
+    monkeypatch.setattr(ngram_bloom, "SLAB", 512)
+    ngram_bloom._tables.clear()
+    for a, b in zip(whole, ngram_bloom._hashed(text.encode()), strict=True):
+        assert (a == b).all()
+
+
 def test_surrogates_keep_format_and_distinctness():
     key = b"k"
     text = "Mail Ann.Lee42@mail8.example.com, +1 (988) 555-2485 or 988-555-2485, 10.2.3.4. Mrs Anna SMITH-Lee met Dr. Smith, SMITH and Anna. г-жа Иванова. 4111 1111 1111 1111; password=e3b3ed3cc8548923d6"

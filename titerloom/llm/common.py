@@ -7,8 +7,10 @@ the same text and get the same result, which a join on that key keeps whole.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over a task's batches, after which the worker, which stays for the next
+    task, gives its free memory back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a materialized table of narrow rows for broadcast if it has max_rows or fewer;
     otherwise leave it to a shuffled join."""

@@ -7,16 +7,19 @@ Words keep exact counts. A pair's count c becomes its level 1 + floor(log2 c), a
 the pair enters its range's Bloom filter once for each level up to its own.
 
 Scoring: a pair's count is read back by probing levels 1, 2, ... until one is
-missing, and stands for the middle of its level. With N training tokens of V
-kinds, P(w | v) = MIX * c(vw)/c(v) + (1 - MIX) * (c(w) + 1)/(N + V + 1); a pair
-never seen has c(vw) = 0, and after a v never seen the second part is all.
+missing, and stands for the least count of its level, so that the shares of all
+followers of a word add up to 1 at most. With N training tokens of V kinds,
+P(w | v) = m * q(vw)/c(v) + (1 - m) * (c(w) + 1)/(N + V + 1) with m = c(v)/(c(v) + BACKOFF);
+a pair never seen has q(vw) = 0, and after a v never seen the second part is all. Over all
+words and one unknown, P adds up to 1 at most (but for false positives of the filter).
 
 Words' counts and the filter follow the corpus. They are broadcast up to MAX_BROADCAST
 bytes; beyond it, distinct probes are dealt to the ranges, looked up there, and
 joined back to the tokens: same numbers, more shuffling.
 
 Defined cases: null or empty text is its end token alone; without training rows
-N = V = 0; repeated rows count and score each; extra columns are ignored.
+N = V = 0; an empty table scores nothing; repeated rows count and score each; a very long
+text is hashed in blocks cut at spaces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import id_crc, join_rows, materialize, text_hash
+from titerloom.llm.common import id_crc, join_rows, materialize, releasing, text_hash
 
-PROBES = 5
+PROBES = 8  # a pair never seen passes for seen once in 2 ** PROBES times
 BITS = 1.44 * PROBES  # of the filter for each entry: half of them are set
-MIX = 0.5
-MAX_BROADCAST = 400_000_000
-RANGE_TEXT = 16_000_000  # bytes of training text to a hash range
-SLAB = 1 << 20  # bytes of text hashed at once
-HELD = 1 << 20  # hashes a task holds before it counts them
+BACKOFF = 128.0  # a word seen so often trusts its pairs as much as the single word
+MAX_BROADCAST = 128_000_000
+RANGE_TEXT = 4_000_000  # bytes of training text to a hash range
+SLAB = 1 << 18  # bytes of text hashed at once
+HELD = 1 << 19  # hashes a task holds before it counts them
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U = np.uint64
 _rng = np.random.default_rng(42)
@@ -65,9 +68,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _tables: list[np.ndarray] = []
 
 
-def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the place where it starts."""
-    b = np.frombuffer(raw, np.uint8)
+def _hashed_block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < len(b):
         n = max(len(b), 2 * SLAB)
         _tables[:] = [_powers(_BASE, n), _powers(_BASE_INVERSE, n)]
@@ -78,6 +79,21 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((total[end] - total[start]) * _tables[1][start] + (end - start).astype(np.uint64)), start
 
 
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the place where it starts, by blocks cut at spaces."""
+    b = np.frombuffer(raw, np.uint8)
+    if len(b) <= 2 * SLAB:
+        return _hashed_block(b)
+    cuts = [0]
+    while cuts[-1] < len(b):
+        at, space = cuts[-1] + SLAB, np.zeros(0, int)
+        while at < len(b) and not len(space := np.flatnonzero(_SPACE[b[at : at + SLAB]])):
+            at += SLAB
+        cuts.append(min(at + int(space[0]) if len(space) else len(b), len(b)))
+    parts = [(h, start + lo) for lo, hi in zip(cuts, cuts[1:], strict=False) for h, start in [_hashed_block(b[lo:hi])]]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def _slabs(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Consecutive texts of about SLAB bytes together: first, last + 1, joined, offsets."""
     at, parts, size = 0, [], 0
@@ -168,8 +184,8 @@ def level(c: np.ndarray) -> np.ndarray:
 
 
 def level_count(q: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
-    return np.where(q > 0, (2.0 ** (q - 1) + 2.0**q - 1) / 2, 0.0)
+    """The least of a level's counts; 0 for level 0."""
+    return np.where(q > 0, 2.0 ** (q - 1), 0.0)
 
 
 def _salt(q: int) -> np.uint64:
@@ -204,8 +220,8 @@ def _merge_range(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """What a task needs to score: words' counts, the pairs' filter, N, V and the training rows."""
 
-    def __init__(self, blocks: list[tuple[int, int, int, bytes]], bits: int, n: int, v: int, rows: int):
-        self.bits, self.n, self.v, self.rows = bits, n, v, rows
+    def __init__(self, blocks: list[tuple[int, int, int, bytes]], bits: int, n: int, v: int, rows: int, backoff: float = BACKOFF):
+        self.bits, self.n, self.v, self.rows, self.backoff = bits, n, v, rows, backoff
         #: Views of the broadcast bytes, by range; nothing is copied.
         self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.filters: dict[int, np.ndarray] = {}
@@ -253,7 +269,8 @@ class Model:
     def log10(self, c: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Base and model log-probabilities from counts of the word, of the one before, and of the pair."""
         flat = (c + 1) / (self.n + self.v + 1)
-        full = np.where(before > 0, MIX * pair / np.maximum(before, np.maximum(pair, 1)) + (1 - MIX) * flat, flat)
+        trust = before / (before + self.backoff)
+        full = trust * np.minimum(pair / np.maximum(before, 1), 1) + (1 - trust) * flat
         return np.log10(flat), np.log10(full)
 
 
@@ -278,12 +295,12 @@ def count_model(train: DataFrame) -> tuple[DataFrame, int]:
     number of leading hash bits that name a range."""
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(size / RANGE_TEXT, 1))))
-    sent = train.select("text").mapInPandas(_count_partition(bits), "order int, range long, blob binary")
+    sent = train.select("text").mapInPandas(releasing(_count_partition(bits)), "order int, range long, blob binary")
     merged = sent.groupBy("order", "range").applyInPandas(_merge_range, "order int, range long, n long, total long, blob binary")
     return materialize(merged, "ngrams"), bits
 
 
-def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows: int) -> DataFrame:
+def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows: int, backoff: float) -> DataFrame:
     """score_texts() for counts too large to broadcast: probes go to the ranges."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,14 +330,15 @@ def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows
     )
     c, q = F.coalesce("c", F.lit(0)), F.coalesce("q", F.lit(0))
     b = F.when(F.col("prior") == start, F.lit(rows)).otherwise(F.coalesce("b", F.lit(0)))
-    pair = F.when(q > 0, (F.pow(F.lit(2.0), q - 1) + F.pow(F.lit(2.0), q) - 1) / 2).otherwise(0.0)
+    pair = F.when(q > 0, F.pow(F.lit(2.0), q - 1)).otherwise(0.0)
     flat = (c + 1) / F.lit(float(n + v + 1))
-    full = F.when(b > 0, MIX * pair / F.greatest(b.cast("double"), pair, F.lit(1.0)) + (1 - MIX) * flat).otherwise(flat)
+    trust = b / (b + F.lit(backoff))
+    full = trust * F.least(pair / F.greatest(b, F.lit(1)), F.lit(1.0)) + (1 - trust) * flat
     sums = all_.groupBy("doc_id", "thash").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum((c > 0).cast("long")).alias("n_known"), F.sum(F.log10(flat)).alias("base_score"), F.sum(F.log10(full)).alias("score"))
     return join_rows(docs.select("doc_id", text_hash().alias("thash")), sums).drop("thash")
 
 
-def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_BROADCAST, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     blocks, bits = count_model(train)
     sums = blocks.agg(
@@ -330,7 +348,7 @@ def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int =
     ).first()
     rows = train.count()
     if sums["size"] > max_broadcast:
-        scored = _by_join(docs, blocks, bits, sums["n"], sums["v"], rows)
+        scored = _by_join(docs, blocks, bits, sums["n"], sums["v"], rows, backoff)
     else:
         spark = docs.sparkSession
         held = spark.sparkContext.broadcast([(r["order"], r["range"], r["n"], bytes(r["blob"])) for r in blocks.select("order", "range", "n", "blob").toLocalIterator()])
@@ -338,9 +356,8 @@ def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int =
 
         @F.pandas_udf(SCORES)
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            model = Model(held.value, bits, n, v, rows)
-            for batch in texts:
-                yield score_texts(model, batch.tolist())
+            model = Model(held.value, bits, n, v, rows, backoff)
+            yield from releasing(lambda batches: (score_texts(model, batch.tolist()) for batch in batches))(texts)
 
         scored = docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
     return scored.withColumn("train_tokens", F.lit(sums["n"]).cast("long"))
