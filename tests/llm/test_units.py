@@ -36,6 +36,21 @@ def test_encoding_is_the_librarys(encoder):
         assert bpe.digests(encoder, text)[0] == len(want)
 
 
+def test_every_character_is_encoded_as_the_library_does(encoder):
+    """Each code point once between others, rows of them at a time, and runs of marks."""
+    from tokenizers import Tokenizer
+
+    from titerloom.llm.queries import tokenizer_path
+
+    library, r = Tokenizer.from_file(tokenizer_path()), random.Random(9)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}" for c in points[i : i + 512]) for i in range(0, len(points), 512)]
+    marks = [c for c in range(0x300, 0x11000) if __import__("unicodedata").combining(chr(c))]
+    texts += ["".join(chr(r.choice(marks)) if r.random() < 0.6 else chr(r.choice((97, 0x391, 0x915, 0xAC00, 0x0D46, 0x1100, 0x0B47))) for _ in range(60)) for _ in range(300)] + ["a\u0d3c\u0301\u0316"]
+    for text in texts:
+        assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_digests_are_of_ids_and_decoded_text(encoder):
     import hashlib
 
@@ -44,7 +59,7 @@ def test_digests_are_of_ids_and_decoded_text(encoder):
     from titerloom.llm.queries import tokenizer_path
 
     library = Tokenizer.from_file(tokenizer_path())
-    for text in awkward_texts()[:20]:
+    for text in [*awkward_texts()[:20], "word " + "ab" * 5000 + " end"]:
         ids = library.encode(text, add_special_tokens=False).ids
         n, a, b = bpe.digests(encoder, text)
         assert a == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()

@@ -11,11 +11,14 @@ and the symbols after it, at most CHECK plus ``sufficient_lookahead(merges)`` of
 however long the text. Short pieces seen lately are remembered, a bounded number.
 
 Decoding. ``Decoder`` turns tokens to bytes and bytes to text through a UTF-8 state
-machine that holds an unfinished sequence of at most three bytes.
+machine that holds an unfinished sequence of at most three bytes. The digest of the decoded
+text is of what it makes of the emitted ids. A tokenizer file without a decoder has its
+tokens' strings as text, with a space between two.
 
 Defined cases: null text is the empty text (no tokens; digests of the empty
-string); texts are streamed piece by piece, so a very long one holds no token
-list; repeated rows are encoded each; other columns are ignored.
+string); an empty table has no rows; texts are streamed piece by piece, and pieces beyond
+LONG characters token by token, so a very long one holds no token list; repeated rows are
+encoded each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +29,34 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titerloom.llm.common import releasing
+
 END = "</w>"
 #: Entries of each memo; a full one is emptied.
 MEMO = 400_000
 #: Symbols held before stable tokens are looked for.
 CHECK = 64
+#: Characters of a piece beyond which it is streamed and not remembered.
+LONG = 256
 #: Symbols after which a piece's state is remembered, for the pieces that begin alike.
 BEGINNINGS = (10, 7, 4)
 #: Characters of a text that are cut into pieces at once.
 SLICE = 1 << 16
 #: White space as Unicode has it; the control characters 1C to 1F don't count.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Pieces of a lowered text that are encoded each on its own.
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Pieces of a lowered text that are encoded each on its own; L, N: letters, numbers.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{SPACE}{L}{N}]+"
+#: Letters and numbers of Unicode 16, which the library knows and Python 3.13 doesn't.
+NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Characters that Python composes and lowers as the library does: no combining marks, and old letters.
+PLAIN = "\u0000-\u02ff\u0370-\u0482\u048a-\u052f\u2010-\u2027\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fff"
 #: The same for lowered ASCII texts, most frequent first; quicker.
 ASCII_PIECE = r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9]+"
 
@@ -56,6 +68,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def character_class(kind: str, more: str) -> str:
+    """The ranges of a regular expression's class: characters of a Unicode category's first
+    letter, and the ranges in `more`."""
+    of = bytearray(unicodedata.category(chr(c))[0] == kind for c in range(0x110000))
+    for low, high in (r.split("-") for r in more.split()):
+        of[int(low, 16) : int(high, 16) + 1] = b"\x01" * (int(high, 16) - int(low, 16) + 1)
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(b"\x01+", bytes(of)))
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     """Symbols past a border after which nothing can move it: the longest token times the
     longest chain of merges (x, a), (a, b), ... in which each, done earlier than the one
@@ -202,6 +223,11 @@ class Transducer:
             if len(last) >= CHECK:
                 self.held = max(self.held, len(last))
                 cut = self._stable([*(j - base for j in live), len(last)], last)
+                if not cut and len(last) >= CHECK + self.lookahead:
+                    # By the bound, what is as old as the lookahead is stable.
+                    cut = len(last)
+                    while cut > len(last) - self.lookahead:
+                        cut -= len(last[cut - 1])
                 if cut:
                     yield from (out := self._chain(last, cut))
                     prev, base, last = out[-1], base + cut, last[cut:]
@@ -224,66 +250,14 @@ class Transducer:
         return out[::-1]
 
 
-class Encoder:
-    """Texts to tokens by a tokenizer file of the word-end kind."""
-
-    def __init__(self, path: str):
-        import regex
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.vocab = model["vocab"]
-        self.tokens = {i: t for t, i in {**self.vocab, **self.added}.items()}
-        self.transducer = Transducer(self.vocab, merges)
-        self.letters = byte_alphabet()
-        self.pieces = regex.compile(PIECE)
-        self.ascii_pieces = re.compile(ASCII_PIECE)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.known: dict[str, str] = {}
-        self.known_strings: dict[str, str] = {}
-
-    def learn(self, piece: str) -> None:
-        """Enter a piece's ids and its tokens' strings, each joined by single spaces."""
-        tokens = list(self.transducer.encode("".join(map(self.letters.__getitem__, piece.encode()))))
-        self.known[piece] = " ".join(str(self.vocab[t]) for t in tokens)
-        self.known_strings[piece] = " ".join(tokens)
-
-    def stream(self, text: str) -> Iterator[tuple[str, str]]:
-        """Ids and strings, joined by single spaces, of a slice of the text at a time."""
-        for part in self.split.split(text) if self.split else [text]:
-            if part in self.added:
-                yield str(self.added[part]), part
-                continue
-            # Lowered letter by letter: a sigma that ends a word is no special case.
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            cut = self.ascii_pieces if low.isascii() else self.pieces
-            found = (m.group() for m in cut.finditer(low)) if len(low) > SLICE else iter(cut.findall(low))
-            while pieces := list(islice(found, SLICE)):
-                if len(self.known) >= MEMO:
-                    self.known.clear()
-                    self.known_strings.clear()
-                new = set(pieces).difference(self.known)
-                for piece in new:
-                    self.learn(piece)
-                yield " ".join(map(self.known.__getitem__, pieces)), " ".join(map(self.known_strings.__getitem__, pieces))
-                for piece in new:
-                    if len(piece) > CHECK:
-                        del self.known[piece], self.known_strings[piece]
-
-    def ids(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.stream(text) for i in ids.split(" ")]
-
-
 class Decoder:
-    """Tokens to text, a token at a time; holds an unfinished UTF-8 sequence only."""
+    """Tokens to text, a token at a time; holds an unfinished UTF-8 sequence only. plain: the
+    tokenizer names no decoder, so that tokens are text themselves, with a space between two."""
 
-    def __init__(self, tokens: dict[int, str], added: dict[str, int]):
-        self.tokens, self.special = tokens, set(added.values())
+    def __init__(self, tokens: dict[int, str], added: dict[str, int], plain: bool = False):
+        self.tokens, self.special, self.plain = tokens, set(added.values()), plain
         self.bytes = {c: b for b, c in enumerate(byte_alphabet())}
-        self.pending, self.need = bytearray(), 0
+        self.pending, self.need, self.begun = bytearray(), 0, False
 
     def _flush(self) -> str:
         out = "�" if self.pending else ""
@@ -314,6 +288,9 @@ class Decoder:
     def feed(self, token_id: int) -> str:
         """The text this token completes; a word's end becomes a space."""
         token = self.tokens[token_id]
+        if self.plain:
+            space, self.begun = " " if self.begun else "", True
+            return space + "".join(map(self._byte, token.encode()))
         if token_id in self.special:
             return self._flush() + token
         word_end = token.endswith(END)
@@ -321,9 +298,90 @@ class Decoder:
         return out + (self._flush() + " " if word_end else "")
 
     def finish(self) -> str:
+        self.begun = False
         return self._flush()
 
 
+class Encoder:
+    """Texts to tokens by a tokenizer file of the word-end kind, and back."""
+
+    def __init__(self, path: str):
+        from tokenizers import normalizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.vocab = model["vocab"]
+        self.tokens = {i: t for t, i in {**self.vocab, **self.added}.items()}
+        self.plain = spec["decoder"] is None
+        self.transducer = Transducer(self.vocab, merges)
+        self.letters = byte_alphabet()
+        classes = {"SPACE": SPACE, "L": character_class("L", NEW_LETTERS), "N": character_class("N", NEW_NUMBERS)}
+        self.pieces = re.compile(re.sub(r"\{(\w+)\}", lambda m: classes[m[1]], PIECE))
+        self.ascii_pieces = re.compile(ASCII_PIECE)
+        self.rare = re.compile(f"[^{PLAIN}]")
+        #: For rare characters the library's own tables, which are newer than Python's.
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.known: dict[str, str] = {}
+        self.known_texts: dict[str, str] = {}
+        #: Decodes the ids of one piece, at whose end no byte is pending.
+        self.decoder = Decoder(self.tokens, self.added, plain=True)
+
+    def learn(self, piece: str) -> None:
+        """Enter a piece's ids, joined by spaces, and the text decoded from them."""
+        ids = [self.vocab[t] for t in self.transducer.encode(self.symbols(piece))]
+        self.known[piece] = " ".join(map(str, ids))
+        self.known_texts[piece] = "".join(map(self.decoder.feed, ids)) + self.decoder.finish()
+
+    def symbols(self, piece: str) -> str:
+        return "".join(map(self.letters.__getitem__, piece.encode()))
+
+    def lowered(self, part: str) -> str:
+        if part.isascii():
+            return part.lower()
+        if self.rare.search(part):
+            return self.normal.normalize_str(part)
+        # Lowered letter by letter: a sigma that ends a word is no special case.
+        return unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+
+    def stream(self, text: str) -> Iterator[tuple[str, str]]:
+        """Ids, joined by spaces, and the text they decode to, of a slice of the text at a time."""
+        for part in self.split.split(text) if self.split else [text]:
+            if part in self.added:
+                yield str(self.added[part]), self.decoder.feed(self.added[part]) + self.decoder.finish()
+                continue
+            low = self.lowered(part)
+            cut = self.ascii_pieces if low.isascii() else self.pieces
+            found = (m.group() for m in cut.finditer(low)) if len(low) > SLICE else iter(cut.findall(low))
+            while pieces := list(islice(found, SLICE)):
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                    self.known_texts.clear()
+                new = set(pieces).difference(self.known)
+                long = {p for p in new if len(p) > LONG}
+                for piece in new - long:
+                    self.learn(piece)
+                for is_long, run in groupby(pieces, long.__contains__) if long else [(False, pieces)]:
+                    if is_long:
+                        for piece in run:
+                            yield from self.stream_piece(piece)
+                    else:
+                        run = list(run)
+                        yield " ".join(map(self.known.__getitem__, run)), " ".join(map(self.known_texts.__getitem__, run))
+
+    def stream_piece(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The same of a piece too long to be remembered, some tokens at a time."""
+        tokens = self.transducer.encode(self.symbols(piece))
+        while some := [self.vocab[t] for t in islice(tokens, LONG)]:
+            yield " ".join(map(str, some)), "".join(map(self.decoder.feed, some)) + self.decoder.finish()
+
+    def ids(self, text: str) -> list[int]:
+        return [int(i) for ids, _ in self.stream(text) for i in ids.split(" ")]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
@@ -331,8 +389,9 @@ def encoder(path: str) -> Encoder:
 
 
 def digests(enc: Encoder, text: str | None) -> tuple[int, str, str]:
-    """n_tokens and the digests of the ids and of the tokens' strings, both joined by a
-    space: a vocabulary without a decoder decodes to its strings."""
+    """n_tokens and the digests of the ids, joined by a space, and of the text decoded from them."""
+    if not enc.plain:
+        raise ValueError("digests are of a tokenizer without a decoder, whose tokens a space parts")
     ids, strings, n = hashlib.sha256(), hashlib.sha256(), 0
     for a, b in enc.stream(text or ""):
         if n:
@@ -350,8 +409,8 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for batch in texts:
-            yield pd.DataFrame([digests(enc, t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        made = lambda batches: (pd.DataFrame([digests(enc, t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for batch in batches)
+        yield from releasing(made)(texts)
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 
