@@ -40,7 +40,7 @@ BITS = 1.44 * PROBES  # of the filter for each entry: half of them are set
 BACKOFF = 128.0  # a word seen so often trusts its pairs as much as the single word
 MAX_BROADCAST = 128_000_000
 RANGE_TEXT = 4_000_000  # bytes of training text to a hash range
-SLAB = 1 << 18  # bytes of text hashed at once
+SLAB = 1 << 19  # bytes of text hashed at once
 HELD = 1 << 19  # hashes a task holds before it counts them
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U = np.uint64
@@ -205,7 +205,7 @@ def _merge_range(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     parts = [unpacked(b) for b in rows["blob"]]
     h, c = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     if order == 1:
-        blob = h.tobytes() + (c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c).tobytes()
+        blob = h.tobytes() + c.astype(np.int64).tobytes()
     else:
         q = level(c)
         size = max(64, math.ceil(BITS * q.sum() / 64) * 64)
@@ -221,49 +221,46 @@ class Model:
     """What a task needs to score: words' counts, the pairs' filter, N, V and the training rows."""
 
     def __init__(self, blocks: list[tuple[int, int, int, bytes]], bits: int, n: int, v: int, rows: int, backoff: float = BACKOFF):
+        """blocks: order, range, entries, bytes, in the order of ranges; one range to a block."""
         self.bits, self.n, self.v, self.rows, self.backoff = bits, n, v, rows, backoff
-        #: Views of the broadcast bytes, by range; nothing is copied.
-        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.filters: dict[int, np.ndarray] = {}
-        for order, where, k, blob in blocks:
-            if order == 1:
-                self.words[where] = np.frombuffer(blob, np.uint64, k), np.frombuffer(blob, np.uint32 if len(blob) == 12 * k else np.int64, k, 8 * k)
-            else:
-                self.filters[where] = np.frombuffer(blob, np.uint8)
-
-    def _by_range(self, h: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The stretches of sorted hashes that lie in each range."""
-        cuts = np.searchsorted(h, np.arange(1 << self.bits, dtype=np.uint64) << U(64 - self.bits)).tolist() + [len(h)]
-        return ((r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b)
+        words = [(k, blob) for order, _, k, blob in blocks if order == 1]
+        #: Ascending over all ranges.
+        self.words = np.concatenate([np.frombuffer(blob, np.uint64, k) for k, blob in words] or [np.zeros(0, np.uint64)])
+        self.count = np.concatenate([np.frombuffer(blob, np.int64, k, 8 * k) for k, blob in words] or [np.zeros(0, np.int64)])
+        pairs = [(where, blob) for order, where, _, blob in blocks if order == 2]
+        #: The ranges' filters, one behind another: where each begins, and its bits (0: none).
+        self.filter = np.frombuffer(b"".join(blob for _, blob in pairs), np.uint8)
+        self.begin, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        where = np.array([r for r, _ in pairs], np.int64)
+        lengths = np.array([len(blob) * 8 for _, blob in pairs], np.uint64)
+        self.begin[where], self.size[where] = np.cumsum(lengths) - lengths, lengths
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Of words."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64)
         known, back = np.unique(h, return_inverse=True)
-        out = np.zeros(len(known), np.int64)
-        for r, part in self._by_range(known):
-            if r in self.words:
-                keys, count = self.words[r]
-                at = np.minimum(np.searchsorted(keys, known[part]), len(keys) - 1)
-                out[part] = np.where(keys[at] == known[part], count[at], 0)
-        return out[back]
+        at = np.minimum(np.searchsorted(self.words, known), len(self.words) - 1)
+        return np.where(self.words[at] == known, self.count[at], 0)[back]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Of pairs."""
+        """Of pairs: probed level by level until one is missing."""
         known, back = np.unique(h, return_inverse=True)
         q = np.zeros(len(known), np.int64)
-        for r, part in self._by_range(known):
-            if r in self.filters:
-                bits, mine = self.filters[r], known[part]
-                size, alive, k = U(len(bits) * 8), np.arange(len(mine)), 0
-                while alive.size:
-                    k += 1
-                    g = mixed(mine[alive] + _salt(k))
-                    step, rest = (g >> U(32)) | U(1), np.arange(alive.size)
-                    for i in range(PROBES):
-                        at = ((g[rest] & U(0xFFFFFFFF)) + U(i) * step[rest]) % size
-                        rest = rest[(bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
-                    alive = alive[rest]
-                    q[part.start + alive] = k
+        where = (known >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(known), np.int64)
+        alive, k = np.flatnonzero(self.size[where]), 0
+        while alive.size:
+            k += 1
+            g = mixed(known[alive] + _salt(k))
+            spot, step = g & U(0xFFFFFFFF), (g >> U(32)) | U(1)
+            begin, size = self.begin[where[alive]], self.size[where[alive]]
+            for _ in range(PROBES):
+                at = begin + spot % size
+                kept = np.flatnonzero((self.filter[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1)
+                if len(kept) < len(alive):
+                    alive, spot, step, begin, size = alive[kept], spot[kept], step[kept], begin[kept], size[kept]
+                spot = spot + step
+            q[alive] = k
         return q[back]
 
     def log10(self, c: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +308,8 @@ def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows
 
     def looked_up(key: tuple, probes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         h = probes["h"].to_numpy().view(np.uint64)
-        model = Model([tuple(r) for r in block[["order", "range", "n", "blob"]].itertuples(index=False)], bits, 0, 0, 0)
+        # One range alone, which every probe here is of.
+        model = Model([(order, 0, n, blob) for order, n, blob in block[["order", "n", "blob"]].itertuples(index=False)], 0, 0, 0, 0)
         value = model.counts(h) if key[0] == 1 else model.levels(h)
         return pd.DataFrame({"order": key[0], "h": probes["h"], "value": value})
 
@@ -351,7 +349,7 @@ def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int =
         scored = _by_join(docs, blocks, bits, sums["n"], sums["v"], rows, backoff)
     else:
         spark = docs.sparkSession
-        held = spark.sparkContext.broadcast([(r["order"], r["range"], r["n"], bytes(r["blob"])) for r in blocks.select("order", "range", "n", "blob").toLocalIterator()])
+        held = spark.sparkContext.broadcast([(r["order"], r["range"], r["n"], bytes(r["blob"])) for r in blocks.select("order", "range", "n", "blob").orderBy("order", "range").toLocalIterator()])
         n, v = sums["n"], sums["v"]
 
         @F.pandas_udf(SCORES)
