@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from titerloom.llm.common import ascii_lower, bounded_broadcast, is_ascii, join_rows, materialize, one_of, text_hash
 
-#: Rows of at most a few words each, some 100 bytes: about 100 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of at most a few words each, some 100 bytes: about 20 MB.
+BROADCAST_ROWS = 200_000
 SEPARATORS = one_of("".join(chr(c) for c in range(128) if not chr(c).isalnum())) + "+"
 #: Stands after a row's last word; no word is it, as words hold no control characters.
 END = "\u0001"

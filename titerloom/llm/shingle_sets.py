@@ -35,9 +35,10 @@ BANDS, ROWS = 20, 5
 #: Bits in which fingerprints of similar sets may differ: similar sets of the least similarity
 #: differ in 9.7 of 64 bits, with a standard deviation of 2.9; strangers in 32.
 FAR = 24
-MAX_BROADCAST = 500_000
+#: Rows of some 40 bytes that are broadcast.
+MAX_BROADCAST = 100_000
 #: Bytes of the sets that are broadcast at once.
-SET_BYTES = 64 << 20
+SET_BYTES = 4 << 20
 #: Leaders met before all pairs that are left, while those are many.
 TURNS = 8
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

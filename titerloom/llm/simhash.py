@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from titerloom.llm.common import materialize, text_hash
+from titerloom.llm.common import materialize, releasing, text_hash
 from titerloom.llm.graph import components
 from titerloom.llm.shingle_sets import band_keys, set_links, set_name, shingles
 
@@ -208,16 +208,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(member.select("fp", "root"), "fp").join(named, "root").select("doc_id", "thash", "fp", "root", "component_id")
 
 
+def _signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        rows = [(set_name(s), len(s), np.uint64(bit_majority([s.view(np.uint64)])).view(np.int64), band_keys(s)) for s in map(shingles, batch)]
+        yield pd.DataFrame(rows, columns=["skey", "n", "fp", "bands"])
+
+
 SIGNATURE = StructType().add("skey", LongType()).add("n", IntegerType()).add("fp", LongType()).add("bands", ArrayType(LongType()))
 
 
 @F.pandas_udf(SIGNATURE)
 def _signatures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A text's shingle set: its name, size, fingerprint and bands."""
-    for batch in texts:
-        sets = [shingles(t) for t in batch]
-        fps = np.array([bit_majority([s.view(np.uint64)]) for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"skey": [set_name(s) for s in sets], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]})
+    yield from releasing(_signed)(texts)
 
 
 def similar_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import id_crc, materialize, text_hash
+from titerloom.llm.common import give_back, id_crc, materialize, releasing, text_hash
 
 MAX_TRAIN = 20_000
 VOTERS = 200
@@ -38,6 +38,8 @@ MARGIN, PARTS = 1.3, 32
 #: Lengths of the word beginnings that stand as voters, marked by a star.
 STEMS = (4, 5)
 MIN_SUPPORT = 8
+#: Rows at once in the sums over training rows, to hold no copies of them all.
+STEP = 2048
 WORD = re.compile(r"[^\W\d_]+")
 #: Fixed pattern voters.
 PATTERNS = {"!many": re.compile(r"!{2,}"), "!shout": re.compile(r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b"), "!symbols": re.compile(r"[#*$%&|<>]{3,}")}
@@ -79,7 +81,7 @@ def choose_voters(train: DataFrame, voters: int) -> list[str]:
     n = {r["toxic"]: r["count"] for r in total}
     if len(n) < 2:
         return []
-    counts = train.mapInPandas(_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = train.mapInPandas(releasing(_features), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log(((F.col("toxic") + 0.5) / (n[1] + 1.0)) / ((F.col("clean") + 0.5) / (n[0] + 1.0)))
     strong = counts.where(F.col("toxic") + F.col("clean") >= MIN_SUPPORT).withColumn("odds", odds).where("odds > 1.5")
     # Support and strength together; ties by name.
@@ -124,7 +126,7 @@ class Voters:
 
 def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior of class 1 for each row of firings. start: first guess at it (the labels)."""
-    x = fired.astype(np.float64)
+    x = fired.astype(np.float32)
     post = 0.9 * start + 0.05
     weight = np.ones(x.shape[1])
     for k in range(rounds):
@@ -132,9 +134,13 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
         p1, p0 = (post @ x + 0.5) / (m1 + 1), ((1 - post) @ x + 0.5) / (m0 + 1)
         prior = m1 / len(x)
         if k == 2:  # correlations given the class, once accuracies are about right
-            mean = np.outer(post, p1) + np.outer(1 - post, p0)
-            r = (x - mean) / np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
-            weight = 1 / np.maximum((np.clip(r.T @ r / len(x), 0, 1) * (1 - np.eye(x.shape[1]))).sum(0) + 1, 1)
+            together = np.zeros((x.shape[1], x.shape[1]))
+            for at in range(0, len(x), STEP):
+                p = post[at : at + STEP]
+                mean = np.outer(p, p1) + np.outer(1 - p, p0)
+                r = (x[at : at + STEP] - mean) / np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
+                together += r.T @ r
+            weight = 1 / np.maximum((np.clip(together / len(x), 0, 1) * (1 - np.eye(x.shape[1]))).sum(0) + 1, 1)
         yes, no = np.log(p1 / p0) * weight, np.log((1 - p1) / (1 - p0)) * weight
         post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + x @ yes + (1 - x) @ no, -30, 30)))
     return post, {"fires_toxic": p1, "fires_clean": p0, "weight": weight, "prior": prior}
@@ -142,12 +148,17 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the bias."""
-    x = np.hstack((x.astype(np.float64), np.ones((len(x), 1))))
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    k = x.shape[1] + 1
+    w, keep = np.zeros(k), np.full(k, ridge)
     keep[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        bend, slope = np.diag(keep), -keep * w
+        for at in range(0, len(x), STEP):
+            part = np.hstack((x[at : at + STEP].astype(np.float64), np.ones((len(x[at : at + STEP]), 1))))
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            bend += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (y[at : at + STEP] - p)
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -171,7 +182,10 @@ def train_model(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows:
     order = np.lexsort((rows["toxic"].to_numpy(), x @ np.linspace(1, 2, x.shape[1])))
     x, y = x[order], rows["toxic"].to_numpy(np.float64)[order]
     posterior, _ = label_model(x[:, : len(names) + len(PATTERNS)] > 0, y)
-    return names, fit_linear(x, posterior)
+    weights = fit_linear(x, posterior)
+    del rows, x
+    give_back()
+    return names, weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
@@ -185,8 +199,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_row
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = Voters(names)
-        for batch in texts:
-            yield pd.Series([float(1 / (1 + np.exp(-np.clip(v.vector(t) @ weights[:-1] + weights[-1], -30, 30)))) for t in batch], dtype="float64")
+        yield from releasing(lambda batches: (pd.Series([float(1 / (1 + np.exp(-np.clip(v.vector(t) @ weights[:-1] + weights[-1], -30, 30)))) for t in batch], dtype="float64") for batch in batches))(texts)
 
     scored = docs.select(*kept, score("text").alias("toxicity"))
     return scored.withColumn("toxic", (F.col("toxicity") >= threshold).cast("int"))
