@@ -38,7 +38,7 @@ FAR = 24
 #: Rows of some 40 bytes that are broadcast.
 MAX_BROADCAST = 100_000
 #: Bytes of the sets that are broadcast at once.
-SET_BYTES = 4 << 20
+SET_BYTES = 16 << 20
 #: Leaders met before all pairs that are left, while those are many.
 TURNS = 8
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
