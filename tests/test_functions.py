@@ -75,6 +75,10 @@ THRESHOLDS = [
     ("<7", 5.0, 9.0, None),
     ("five", 1.0, 2.0, None),
     ("< 0,5", 0.0, 1.0, ("in_range", False)),
+    ("<5 mg", None, None, None),
+    ("<-1", None, -1.0, ("negative", False)),
+    ("<.5", None, 0.5, ("negative", False)),
+    (">+2", 2.0, None, ("negative", False)),
 ]
 
 
@@ -125,3 +129,11 @@ def test_display_helpers(spark):
     groups = spark.createDataFrame([("Blood", 10)], "name string, display_order int")
     names = spark.createDataFrame([("Urine",), ("Blood",), (" ",), ("Air",)], "name string")
     assert {tuple(r) for r in display.new_groups(names, groups).collect()} == {("Blood", 10), ("Air", 20), ("Urine", 30)}
+
+
+def test_volume_units_and_cell_counts(spark):
+    df = spark.createDataFrame([("hL/L", 100.0), ("daL/L", 10.0), ("mL/L", 1e-3), ("pL/L", None), ("g/L", None)], "u string, want double")
+    for r in df.select("u", "want", N.dimensionless_factor(F.col("u")).alias("got")).collect():
+        assert r["got"] == r["want"] or abs(r["got"] - r["want"]) < 1e-12 * abs(r["want"])
+    keys = [("10^9/l", False), ("109/l", False), ("x10^9/l", False), ("zellen/nl", True), ("tys/ul", True), ("tis", True), ("cell", True), ("mg/dl", False), (None, False)]
+    assert [r[0] for r in spark.createDataFrame([(i, k) for i, (k, _) in enumerate(keys)], "i int, k string").orderBy("i").select(N.needs_judgement(F.col("k"))).collect()] == [w for _, w in keys]

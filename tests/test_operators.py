@@ -3,8 +3,10 @@
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
 
-from titerloom.operators import coverage, effective, history, logspans, rules, search, sets, timeline
+
+from titerloom.operators import coverage, effective, history, logspans, reports, rules, search, sets, timeline
 from titerloom.sources import bundle, files
 from titerloom.streaming import pipeline
 
@@ -175,3 +177,20 @@ def test_stream_resolves_pending_later(spark, tmp_path):
     again = pipeline.retry_pending(done, cols, table)
     assert {r["id"]: r["status"] for r in again.collect()} == {1: "resolved", 2: "resolved"}
     assert pipeline.fingerprint(again) != pipeline.fingerprint(done)
+
+
+def test_trends_draw_every_point_over_a_span_of_one(spark):
+    rows = spark.createDataFrame([("a", i, i, float(i % 2) / 10) for i in range(30)] + [("b", i, i, float(i)) for i in range(8)] + [("c", 1, 1, 3.0)], "marker string, id long, ts long, value double")
+    got = {r["marker"]: r["trend"] for r in history.trend_glyphs(rows).collect()}
+    assert got == {"a": "▁▂" * 15, "b": "▁▂▃▄▅▆▇█", "c": "1 result"}
+
+
+def test_gauges_marks_and_failures(spark):
+    df = spark.createDataFrame([(5.0, 2.0, 4.0, 1.2, 5.5), (3.0, 2.0, 12.0, -2.0, 16.0), (10.0, None, 4.0, 8.0, 12.0), (0.0, None, None, -1.0, 1.0)], "v double, a double, b double, x double, y double")
+    for r in df.select("x", "y", reports.gauge_bounds(F.col("v"), F.col("a"), F.col("b")).alias("g")).collect():
+        assert abs(r["g"]["a"] - r["x"]) < 1e-9 and abs(r["g"]["b"] - r["y"]) < 1e-9
+    df = spark.createDataFrame([("low", False, "⬇️ "), ("high", False, "⬆️ "), ("normal", False, "↔️ "), ("neutral", False, ""), ("normal", True, ""), ("positive", False, "")], "c string, w boolean, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", reports.mark(F.col("c"), F.col("w")).alias("got")).collect())
+    says = {"HTTP 413": "split", "Failed to parse request body": "split", "Timeout waiting for session.idle": "timeout", "timeout": "other", "Too Many Requests": "rate_limited", "429": "rate_limited", "bad json": "other"}
+    df = spark.createDataFrame(list(says.items()), "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", sets.failure_kind(F.col("t")).alias("got")).collect())

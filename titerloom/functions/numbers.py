@@ -9,7 +9,7 @@ from titerloom.functions.binding import let
 from titerloom.functions.keys import clean_qualitative, strip, unit_key
 
 #: Powers of ten of the metric prefixes of a unit key.
-PREFIXES = {"": 0, "d": -1, "c": -2, "m": -3, "u": -6, "n": -9, "p": -12, "f": -15, "k": 3}
+PREFIXES = {"n": -9, "u": -6, "m": -3, "c": -2, "d": -1, "": 0, "da": 1, "h": 2, "k": 3}
 #: Factors tried on a value that lies far off its history.
 SCALES = (0.001, 0.01, 0.1, 10.0, 100.0, 1000.0)
 
@@ -69,8 +69,9 @@ def dimensionless_factor(unit: Column) -> Column:
     """What one of the unit is as a plain ratio; null for a unit with a dimension."""
     key = unit_key(unit)
     powers = F.create_map(*[F.lit(x) for p in PREFIXES.items() for x in p])
-    top, bottom = F.regexp_extract(key, r"^([dcmunpfk]?)l/([dcmunpfk]?)l$", 1), F.regexp_extract(key, r"^([dcmunpfk]?)l/([dcmunpfk]?)l$", 2)
-    volume = F.rlike(key, F.lit(r"^[dcmunpfk]?l/[dcmunpfk]?l$"))
+    ratio = r"^(da|[numcdhk]?)l/(da|[numcdhk]?)l$"
+    top, bottom = F.regexp_extract(key, ratio, 1), F.regexp_extract(key, ratio, 2)
+    volume = F.rlike(key, F.lit(ratio))
     return (
         F.when(key == "1", F.lit(1.0))
         .when(key == "%", F.lit(1e-2))
@@ -85,8 +86,8 @@ def deterministic_factor(original: Column, target: Column) -> Column:
 
 def needs_judgement(key: Column) -> Column:
     """Cell counts and the like, whose factor no rule of prefixes gives."""
-    plain = F.rlike(key, F.lit(r"^x?10\^\d+/l$"))
-    return F.coalesce(~plain & F.rlike(key, F.lit(r"cell|/ul")), F.lit(False))
+    plain = F.rlike(key, F.lit(r"^x?10\^?\d+/l$"))
+    return F.coalesce(~plain & F.rlike(key, F.lit(r"cells?|zellen|tys|tis|/ul|/μl|/µl")), F.lit(False))
 
 
 def general_number(x: Column, digits: int = 6) -> Column:

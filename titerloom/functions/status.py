@@ -9,7 +9,7 @@ from titerloom.functions.binding import let
 from titerloom.functions.keys import clean_qualitative
 from titerloom.functions.numbers import finite
 
-_THRESHOLD = r"^(<=|>=|<|>)\s*(\d+(?:[.,]\d+)?)"
+_THRESHOLD = r"^(<=|>=|<|>)\s*([+-]?(?:\d+(?:[.,]\d+)?|[.,]\d+))$"
 
 
 def threshold(text: Column) -> Column:

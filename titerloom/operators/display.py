@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from titerloom.functions import keys as K
 from titerloom.functions import numbers as N
 
-#: Labels of the file states.
-STATES = {"uploaded": "Waiting", "queued": "Queued", "processing": "Processing", "complete": "Ready", "error": "Failed"}
-
-
 def text_filter(rows: DataFrame, typed: str, *columns: str) -> DataFrame:
     """Rows in which the typed text occurs, in whatever case, in the columns taken together."""
     asked = typed.strip().lower()
@@ -26,11 +22,25 @@ def suggestions(tags: DataFrame, typed: str, chosen: list[str]) -> DataFrame:
     return out.where(~F.col("tag").isin(chosen)) if chosen else out
 
 
-def processing_label(status: Column, covered: Column, pages: Column, ready: Column, total: Column) -> Column:
-    counted = F.concat(F.lit("Reading "), covered.cast("string"), F.lit("/"), pages.cast("string"))
-    rules = F.concat(F.lit("Normalising "), ready.cast("string"), F.lit("/"), total.cast("string"))
-    plain = F.try_element_at(F.create_map(*[F.lit(x) for p in STATES.items() for x in p]), status)
-    return F.when((status == "processing") & (covered < pages), counted).when((status == "processing") & (ready < total), rules).otherwise(F.coalesce(plain, status))
+def processing_label() -> Column:
+    """Of a file's row with its progress: the first step that isn't done yet names it."""
+    c = F.col
+    steps = (
+        F.when(c("measurement_pages_done") < c("measurement_pages_total"), F.lit("Extracting measurements"))
+        .when(c("total_measurements") > c("ready_measurements"), F.lit("Normalizing measurements"))
+        .when(c("text_pages_done") < c("text_pages_total"), F.lit("Extracting text"))
+        .when(c("text_assembled_at").isNull(), F.lit("Assembling text"))
+        .when(~c("summary_ready"), F.lit("Generating summary"))
+        .when(~c("source_ready"), F.lit("Resolving source"))
+        .otherwise(F.lit("Processing"))
+    )
+    return (
+        F.when(c("status") == "error", F.coalesce(F.nullif(c("processing_error"), F.lit("")), F.lit("Processing failed")))
+        .when(c("status") == "uploaded", F.lit("Not processed"))
+        .when(c("status") == "queued", F.lit("Queued"))
+        .when(c("status") == "complete", F.when(c("search_ready"), F.lit("Complete")).otherwise(F.lit("Refreshing search")))
+        .otherwise(steps)
+    )
 
 
 def source_label(tags: Column, filename: Column) -> Column:

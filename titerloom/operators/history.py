@@ -153,12 +153,12 @@ def sparkline_rows(rows: DataFrame) -> DataFrame:
 
 
 def trend_glyphs(rows: DataFrame, glyphs: str = "▁▂▃▄▅▆▇█") -> DataFrame:
-    """A marker's numbers in order, each as one of eight heights."""
+    """All of a marker's numbers in order, each as one of eight heights over a span of 1 at least."""
     spread = rows.where(F.col("value").isNotNull()).groupBy("marker").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
-    last = last_rows(rows.where(F.col("value").isNotNull()), 24).join(spread, "marker")
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    points = rows.where(F.col("value").isNotNull()).join(spread, "marker")
+    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0))
     level = F.greatest(F.lit(0), F.least(F.lit(len(glyphs) - 1), F.floor((F.col("value") - F.col("lo")) / span * (len(glyphs) - 1) + 0.5))).cast("int")
-    shown = last.withColumn("glyph", F.substring(F.lit(glyphs), level + 1, F.lit(1)))
+    shown = points.withColumn("glyph", F.substring(F.lit(glyphs), level + 1, F.lit(1)))
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "id", "glyph"))), lambda s: s["glyph"]), "")
     return shown.groupBy("marker").agg(F.max("n").alias("n"), line.alias("line")).select("marker", F.when(F.col("n") == 1, F.lit("1 result")).otherwise(F.col("line")).alias("trend"))
 

@@ -45,11 +45,13 @@ def markdown_row(*cells: Column) -> Column:
 
 
 #: Marks before a value.
-MARKS = {"low": "🔵 ", "high": "🔴 ", "positive": "🔴 ", "normal": "🟢 ", "neutral": ""}
+MARKS = {"low": "⬇️ ", "high": "⬆️ ", "normal": "↔️ "}
 
 
-def mark(class_: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in MARKS.items() for x in p]), class_)
+def mark(class_: Column, worded: Column) -> Column:
+    """worded: whether the result is a word or a flag, which bears no mark."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for p in MARKS.items() for x in p]), class_)
+    return F.when(worded | known.isNull(), F.lit("")).otherwise(known)
 
 
 def chart_points(rows: DataFrame) -> DataFrame:
@@ -66,9 +68,10 @@ def chart_points(rows: DataFrame) -> DataFrame:
 
 def gauge_bounds(value: Column, low: Column, high: Column) -> Column:
     """struct(a, b): the stretch of axis a single value is shown on."""
-    a, b = F.coalesce(low, F.least(value, high) - F.abs(high) * 0.5), F.coalesce(high, F.greatest(value, low) + F.abs(low) * 0.5)
-    pad = F.greatest((b - a) * 0.2, F.lit(1e-9))
-    return F.struct(F.least(a - pad, value).alias("a"), F.greatest(b + pad, value).alias("b"))
+    both = low.isNotNull() & high.isNotNull()
+    margin = F.when(both, F.greatest((high - low) * 0.4, F.lit(0.5))).otherwise(F.greatest(F.abs(value) * 0.2, F.lit(1.0)))
+    first, last = F.when(both, low).otherwise(value) - margin, F.when(both, high).otherwise(value) + margin
+    return F.struct(F.least(first, value - 0.5).alias("a"), F.greatest(last, value + 0.5).alias("b"))
 
 
 STEPS = (1.0, 2.0, 2.5, 5.0, 10.0)

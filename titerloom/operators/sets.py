@@ -55,7 +55,8 @@ def prune(jobs: DataFrame, now: Column) -> DataFrame:
     age = lambda h: F.col("updated_at") < now - F.make_dt_interval(hours=F.lit(h))
     gone = ((F.col("status") == "resolved") & age(6)) | (F.col("status").isin("failed", "cancelled") & age(48))
     leased = F.col("status") == "leased"
-    return jobs.where(~gone).withColumns({"attempt_count": F.when(leased, 0).otherwise(F.col("attempt_count")), "status": F.when(leased, F.lit("pending")).otherwise(F.col("status"))})
+    fresh = {"attempt_count": F.lit(0), "status": F.lit("pending"), "lease_owner": F.lit(None), "lease_until": F.lit(None), "error_text": F.lit(None), "updated_at": now}
+    return jobs.where(~gone).withColumns({c: F.when(leased, v).otherwise(F.col(c)) for c, v in fresh.items() if c in jobs.columns})
 
 
 def after_failure(jobs: DataFrame, now: Column, most: int = 3, wait_s: int = 15) -> DataFrame:
@@ -65,7 +66,10 @@ def after_failure(jobs: DataFrame, now: Column, most: int = 3, wait_s: int = 15)
 
 
 def failure_kind(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(r"(?i)\b429\b|rate limit")), F.lit("rate_limited")).when(F.rlike(text, F.lit(r"(?i)timed? ?out|timeout")), F.lit("timeout")).when(F.rlike(text, F.lit(r"(?i)\b413\b|too large|json|parse")), F.lit("split")).otherwise(F.lit("other"))
+    """split (too large), timeout, rate_limited or other, by what an error says."""
+    says = lambda words: F.contains(F.lower(text), F.lit(words))
+    split, timeout, limited = says("413") | says("failed to parse request"), says("timeout") & says("session.idle"), says("429") | says("rate limit") | says("too many requests")
+    return F.when(split, F.lit("split")).when(timeout, F.lit("timeout")).when(limited, F.lit("rate_limited")).otherwise(F.lit("other"))
 
 
 def has_all_tags(tags: DataFrame, owner: str, wanted: list[str]) -> DataFrame:

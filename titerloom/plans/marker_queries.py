@@ -110,10 +110,9 @@ def sparkline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sparkline_rows(rows).select(F.col("marker.m").alias("marker"), F.col("marker.file_id").alias("file_id"), "id", "y")
 
 
-@query(f"""WITH {R}, v AS (SELECT *, concat(marker, ':', file_id) AS k FROM r WHERE value IS NOT NULL), s AS (SELECT k, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY k),
-w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, id DESC) AS rn FROM v)
-SELECT k AS marker, CASE WHEN max(n) = 1 THEN '1 result' ELSE string_agg(substr('▁▂▃▄▅▆▇█', 1 + CAST(greatest(0, least(7, floor((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 7 + 0.5))) AS INT), 1), '' ORDER BY ts, id) END AS trend
-FROM w JOIN s USING (k) WHERE rn <= 24 GROUP BY k""")
+@query(f"""WITH {R}, v AS (SELECT *, concat(marker, ':', file_id) AS k FROM r WHERE value IS NOT NULL), s AS (SELECT k, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY k)
+SELECT k AS marker, CASE WHEN max(n) = 1 THEN '1 result' ELSE string_agg(substr('▁▂▃▄▅▆▇█', 1 + CAST(greatest(0, least(7, floor((value - lo) / greatest(hi - lo, 1) * 7 + 0.5))) AS INT), 1), '' ORDER BY ts, id) END AS trend
+FROM v JOIN s USING (k) GROUP BY k""")
 def trend_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.trend_glyphs(results(spark, sf_dir).withColumn("marker", F.concat_ws(":", "marker", F.col("file_id").cast("string"))))
 

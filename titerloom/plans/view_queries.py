@@ -49,11 +49,19 @@ def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("marker", (F.row_number().over(w).cast("long") - 1).alias("place"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 8 < 7 THEN concat('Reading ', o_orderkey % 8, '/7') WHEN o_orderstatus = 'O' AND o_custkey % 5 < 4 THEN concat('Normalising ', o_custkey % 5, '/4') WHEN o_orderstatus = 'O' THEN 'Processing' WHEN o_orderstatus = 'F' THEN 'Failed' ELSE 'Ready' END AS label FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 11 AS s FROM orders)
+SELECT k AS id, CASE WHEN s = 0 AND c % 2 = 0 THEN concat('no page ', c) WHEN s = 0 THEN 'Processing failed' WHEN s = 1 THEN 'Not processed' WHEN s = 2 THEN 'Queued' WHEN s = 3 AND c % 3 = 0 THEN 'Refreshing search' WHEN s = 3 THEN 'Complete'
+WHEN k % 8 < 4 THEN 'Extracting measurements' WHEN c % 5 < 2 THEN 'Normalizing measurements' WHEN k % 7 < 3 THEN 'Extracting text' WHEN c % 7 < 2 THEN 'Assembling text' WHEN c % 13 < 3 THEN 'Generating summary' WHEN c % 17 < 5 THEN 'Resolving source' ELSE 'Processing' END AS label FROM o""")
 def processing_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    status = F.when(F.col("o_orderstatus") == "O", F.lit("processing")).when(F.col("o_orderstatus") == "F", F.lit("error")).otherwise(F.lit("complete"))
-    return o.select(F.col("o_orderkey").alias("id"), display.processing_label(status, F.col("o_orderkey") % 8, F.lit(7), F.col("o_custkey") % 5, F.lit(4)).alias("label"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    files = o.select(
+        k.alias("id"), F.coalesce(F.try_element_at(F.array(*map(F.lit, ("error", "uploaded", "queued", "complete"))), (k % 11 + 1).cast("int")), F.lit("processing")).alias("status"),
+        F.when(c % 2 == 0, F.concat(F.lit("no page "), c.cast("string"))).alias("processing_error"), (c % 3 != 0).alias("search_ready"), (k % 8).alias("measurement_pages_done"), F.lit(4).alias("measurement_pages_total"),
+        (c % 5).alias("ready_measurements"), F.lit(2).alias("total_measurements"), (k % 7).alias("text_pages_done"), F.lit(3).alias("text_pages_total"),
+        F.when(c % 7 >= 2, F.current_timestamp()).alias("text_assembled_at"), (c % 13 >= 3).alias("summary_ready"), (c % 17 >= 5).alias("source_ready"),
+    )
+    return files.select("id", display.processing_label().alias("label"))
 
 
 @query("""SELECT file_id, lab_date, source, n FROM (SELECT l_orderkey AS file_id, min(CASE WHEN l_linenumber > 2 THEN concat('d', l_linenumber) END) AS lab_date, min(CASE WHEN l_linenumber > 1 THEN concat('s', l_linenumber) END) AS source, count(*) AS n FROM lineitem GROUP BY 1)""")
@@ -68,8 +76,8 @@ def merged_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT l_partkey AS id, l_orderkey AS k, l_suppkey AS s, l_linenumber AS n, l_quantity AS v, CASE WHEN l_linenumber % 2 = 0 THEN CAST(10 AS DOUBLE) END AS lo, CAST(40 AS DOUBLE) AS hi FROM lineitem),
-b AS (SELECT *, coalesce(lo, least(v, hi) - abs(hi) * 0.5) AS a, hi AS z FROM v)
-SELECT id, k, s, n, round(least(a - greatest((z - a) * 0.2, 1e-9), v), 6) AS first, round(greatest(z + greatest((z - a) * 0.2, 1e-9), v), 6) AS last, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) END, 6) AS position FROM b""")
+b AS (SELECT *, CASE WHEN lo IS NOT NULL THEN greatest((hi - lo) * 0.4, 0.5) ELSE greatest(abs(v) * 0.2, 1) END AS m FROM v)
+SELECT id, k, s, n, round(least(coalesce(lo, v) - m, v - 0.5), 6) AS first, round(greatest(CASE WHEN lo IS NOT NULL THEN hi ELSE v END + m, v + 0.5), 6) AS last, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) END, 6) AS position FROM b""")
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     v, lo, hi = F.col("l_quantity"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(10.0)), F.lit(40.0)

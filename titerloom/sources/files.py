@@ -9,7 +9,7 @@ from titerloom.functions.keys import blank_to_null, document_text, strip
 
 #: Kinds of file by suffix, other names of a kind, and the suffix of a sidecar.
 SUFFIXES = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "txt": "text/plain", "md": "text/markdown"}
-ALIASES = {"image/jpg": "image/jpeg", "application/x-pdf": "application/pdf", "text/x-markdown": "text/markdown"}
+ALIASES = {"text/x-markdown": "text/markdown"}
 SIDECAR = ".originalName"
 TEXT_KINDS = ("text/plain", "text/markdown")
 
