@@ -154,7 +154,7 @@ def test_filter_never_loses_a_level():
     h = np.unique(rng.integers(0, 1 << 58, 5000, dtype=np.uint64))  # range 0 of 32
     c = rng.integers(1, 300, len(h))
     block = ngram_bloom._merge_range((2, 0), pd.DataFrame({"blob": [ngram_bloom.packed(h, c)]}))
-    model = ngram_bloom.Model([(2, 0, len(h), block["blob"][0])], 5, 1, 1, 1)
+    model = ngram_bloom.Model(ngram_bloom.gathered([(2, 0, len(h), block["blob"][0])]), 5, 1, 1, 1)
     assert (model.levels(h) >= ngram_bloom.level(c)).all()
     assert (model.levels(h) == ngram_bloom.level(c)).mean() > 0.9
     strange = np.unique(rng.integers(0, 1 << 58, 5000, dtype=np.uint64))
@@ -170,7 +170,7 @@ def test_probabilities_add_up_to_one_at_most():
     toks, befores = (np.concatenate(x) for x in zip(*[(t, b) for _, _, _, t, b in ngram_bloom.tokens(texts)], strict=True))
     one, two = (np.unique(x, return_counts=True) for x in (toks, ngram_bloom.pair_hash(befores, toks)))
     blocks = [(k, 0, *ngram_bloom._merge_range((k, 0), pd.DataFrame({"blob": [ngram_bloom.packed(*x)]})).loc[0, ["n", "blob"]]) for k, x in ((1, one), (2, two))]
-    model = ngram_bloom.Model(blocks, 0, len(toks), len(one[0]), len(texts))
+    model = ngram_bloom.Model(ngram_bloom.gathered(blocks), 0, len(toks), len(one[0]), len(texts))
     words = np.concatenate((one[0], np.array([12345], np.uint64)))
     count = model.counts(words)
     assert (count[:-1] == one[1]).all()

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from titerloom.llm.common import id_crc, join_rows, materialize, releasing, text_hash
 
-PROBES = 8  # a pair never seen passes for seen once in 2 ** PROBES times
+PROBES = 7  # a pair never seen passes for seen once in 2 ** PROBES times
 BITS = 1.44 * PROBES  # of the filter for each entry: half of them are set
 BACKOFF = 128.0  # a word seen so often trusts its pairs as much as the single word
-MAX_BROADCAST = 128_000_000
+MAX_BROADCAST = 256_000_000
 RANGE_TEXT = 4_000_000  # bytes of training text to a hash range
 SLAB = 1 << 19  # bytes of text hashed at once
 HELD = 1 << 19  # hashes a task holds before it counts them
@@ -217,23 +217,33 @@ def _merge_range(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(order, where, len(h), int(c.sum()), blob)], columns=["order", "range", "n", "total", "blob"])
 
 
+def gathered(blocks: Iterator[tuple[int, int, int, bytes]]) -> tuple[bytearray, bytearray, bytearray, list[int], list[int]]:
+    """Blocks (order, range, entries, bytes), in the order of ranges, as five tables: words,
+    ascending, and their counts; the ranges' filters, one behind another, with range and bytes of each."""
+    words, counts, filters, where, lengths = bytearray(), bytearray(), bytearray(), [], []
+    for order, at, n, blob in blocks:
+        if order == 1:
+            words += blob[: 8 * n]
+            counts += blob[8 * n :]
+        else:
+            filters += blob
+            where.append(at)
+            lengths.append(len(blob))
+    return words, counts, filters, where, lengths
+
+
 class Model:
-    """What a task needs to score: words' counts, the pairs' filter, N, V and the training rows."""
+    """What a task needs to score: words' counts, the pairs' filter, N, V and the training rows.
+    tables: as gathered() returns them; views of them, no copies."""
 
-    def __init__(self, blocks: list[tuple[int, int, int, bytes]], bits: int, n: int, v: int, rows: int, backoff: float = BACKOFF):
-        """blocks: order, range, entries, bytes, in the order of ranges; one range to a block."""
+    def __init__(self, tables: tuple, bits: int, n: int, v: int, rows: int, backoff: float = BACKOFF):
         self.bits, self.n, self.v, self.rows, self.backoff = bits, n, v, rows, backoff
-        words = [(k, blob) for order, _, k, blob in blocks if order == 1]
-        #: Ascending over all ranges.
-        self.words = np.concatenate([np.frombuffer(blob, np.uint64, k) for k, blob in words] or [np.zeros(0, np.uint64)])
-        self.count = np.concatenate([np.frombuffer(blob, np.int64, k, 8 * k) for k, blob in words] or [np.zeros(0, np.int64)])
-        pairs = [(where, blob) for order, where, _, blob in blocks if order == 2]
-        #: The ranges' filters, one behind another: where each begins, and its bits (0: none).
-        self.filter = np.frombuffer(b"".join(blob for _, blob in pairs), np.uint8)
+        words, counts, filters, where, lengths = tables
+        self.words, self.count, self.filter = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(filters, np.uint8)
+        #: Where each range's filter begins, and its bits (0: none).
         self.begin, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        where = np.array([r for r, _ in pairs], np.int64)
-        lengths = np.array([len(blob) * 8 for _, blob in pairs], np.uint64)
-        self.begin[where], self.size[where] = np.cumsum(lengths) - lengths, lengths
+        size = np.array(lengths, np.uint64) * U(8)
+        self.begin[where], self.size[where] = np.cumsum(size) - size, size
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Of words."""
@@ -309,7 +319,7 @@ def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows
     def looked_up(key: tuple, probes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         h = probes["h"].to_numpy().view(np.uint64)
         # One range alone, which every probe here is of.
-        model = Model([(order, 0, n, blob) for order, n, blob in block[["order", "n", "blob"]].itertuples(index=False)], 0, 0, 0, 0)
+        model = Model(gathered((order, 0, n, blob) for order, n, blob in block[["order", "n", "blob"]].itertuples(index=False)), 0, 0, 0, 0)
         value = model.counts(h) if key[0] == 1 else model.levels(h)
         return pd.DataFrame({"order": key[0], "h": probes["h"], "value": value})
 
@@ -349,7 +359,8 @@ def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int =
         scored = _by_join(docs, blocks, bits, sums["n"], sums["v"], rows, backoff)
     else:
         spark = docs.sparkSession
-        held = spark.sparkContext.broadcast([(r["order"], r["range"], r["n"], bytes(r["blob"])) for r in blocks.select("order", "range", "n", "blob").orderBy("order", "range").toLocalIterator()])
+        ordered = blocks.select("order", "range", "n", "blob").orderBy("order", "range")
+        held = spark.sparkContext.broadcast(gathered(map(tuple, ordered.toLocalIterator())))
         n, v = sums["n"], sums["v"]
 
         @F.pandas_udf(SCORES)
