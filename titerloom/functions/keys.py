@@ -194,3 +194,13 @@ def distinct_aliases(aliases: Column, name: Column) -> Column:
 def union_tags(*tags: Column) -> Column:
     """Tag lists in order, normalised, blanks dropped, the first of equals kept."""
     return F.array_distinct(F.filter(F.transform(F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in tags]), normal_tag), lambda t: t != ""))
+
+
+def json_object_map(text: Column) -> Column:
+    """A JSON object as a map of texts; anything else, broken JSON and null, as the empty map."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def cache_key(version: Column, name: Column, signature: Column) -> Column:
+    """24 hexadecimal digits that name what is drawn of a marker in one version of the style."""
+    return F.substring(F.sha2(F.concat(version, F.lit(":"), name, F.lit(":"), signature).cast("binary"), 256), 1, 24)

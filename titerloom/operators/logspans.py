@@ -104,6 +104,11 @@ def batch_stats(spans: DataFrame) -> DataFrame:
     return use.where("pages is not null").groupBy("pages").agg(F.count(F.lit(1)).alias("jobs"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"), F.avg("ms").alias("avg_ms"))
 
 
+def most_common_batch(stats: DataFrame) -> DataFrame:
+    """Of batch_stats() the row with most jobs; of equals the one with fewest pages."""
+    return stats.orderBy(F.desc("jobs"), "pages").limit(1)
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 

@@ -65,6 +65,12 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logspans.batch_stats(spans(spark, sf_dir)).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+@query(f"WITH {SPANS} SELECT pages, count(*) AS jobs FROM spans WHERE kind = 'job' AND pages IS NOT NULL GROUP BY 1 ORDER BY jobs DESC, pages LIMIT 1")
+def most_common_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row is the feature."""
+    return logspans.most_common_batch(logspans.batch_stats(spans(spark, sf_dir))).select("pages", "jobs")
+
+
 @query(f"""WITH {SPANS} SELECT count(*) AS spans, count(*) FILTER (kind = 'job') AS jobs, count(*) FILTER (kind = 'request') AS requests, CAST(0 AS BIGINT) AS errors, count(*) FILTER (status = 'open') AS open, max(pages) FILTER (kind IN ('job', 'range')) AS largest_batch, max(ms) AS longest_ms,
 CAST(coalesce(sum(input_tokens) FILTER (kind = 'request' AND input_tokens > 0), 0) AS BIGINT) AS input_tokens, CAST(floor(avg(input_tokens) FILTER (kind = 'request' AND input_tokens > 0) + 0.5) AS BIGINT) AS avg_input_tokens, count(DISTINCT file) AS files FROM spans""")
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,19 @@ def text_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of whole texts; text_tokens is held to the first line by its SQL."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", K.text_tokens(F.col("text")).alias("tokens"))
     return docs.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).cast("long").alias("n"))
+
+
+@query("""SELECT p_partkey AS id, substr(sha256(concat('v8:', p_name, ':', p_brand, p_size)), 1, 24) AS key FROM part""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), K.cache_key(F.lit("v8"), F.col("p_name"), F.concat("p_brand", F.col("p_size").cast("string"))).alias("key"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 5 IN (0, 1) AND props IS NOT NULL THEN len(json_keys(props)) ELSE 0 END AS n, CASE WHEN event_id % 5 IN (0, 1) THEN json_extract_string(props, '$.k') END AS k FROM events""")
+def payload_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of events as maps; some are made lists, broken or empty, which count as no object."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id") % 5
+    text = F.when(n < 2, F.col("props")).when(n == 2, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(n == 3, F.concat(F.lit("{"), F.col("props"))).otherwise(F.lit(""))
+    m = K.json_object_map(text)
+    return e.select(F.col("event_id").alias("id"), F.size(m).cast("long").alias("n"), F.try_element_at(m, F.lit("k")).alias("k"))
