@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import materialize, space_words
+from titerloom.llm.common import bounded_broadcast, materialize, space_words
 
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each feature, in its transformed unit.
 FLOOR = (0.08, 0.35, 0.35, 0.9)
 MIN_GROUP = 50
+#: Groups, of some 600 bytes each, whose tables are broadcast, so that no group's rows meet in one task.
+BROADCAST_GROUPS = 20_000
 SHARE = 0.75
 STEPS = 4
 #: A covariance of the nearest 75 % is too small; the factor for four normal variables.
@@ -111,6 +113,7 @@ def robust_distances(rows: DataFrame, floor: tuple[float, ...] = FLOOR, share: f
     """rows: g (group), x0.. (features), any others. Adds d2, the squared robust distance."""
     p, keep = len(floor), rows.columns
     start = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(p)])
+    start = bounded_broadcast(materialize(start, "medians"), BROADCAST_GROUPS)
     spread = rows.join(start, "g").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"mad{i}") for i in range(p)],
@@ -121,9 +124,9 @@ def robust_distances(rows: DataFrame, floor: tuple[float, ...] = FLOOR, share: f
             groups = groups.withColumn(f"c_{i}_{j}", F.pow(F.col(f"mad{i}") * 1.4826, 2) + floor[i] ** 2 if i == j else F.lit(0.0))
     for step in range(steps):
         factor = materialize(_factored(groups, p).drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)]), f"mcd-factor-{step}")
-        near = rows.select("g", *[f"x{i}" for i in range(p)]).join(factor, "g").select("g", *[f"x{i}" for i in range(p)], _distance(p).alias("d2"))
+        near = rows.select("g", *[f"x{i}" for i in range(p)]).join(bounded_broadcast(factor, BROADCAST_GROUPS), "g").select("g", *[f"x{i}" for i in range(p)], _distance(p).alias("d2"))
         cut = near.groupBy("g").agg(F.percentile_approx("d2", share, 2000).alias("cut"))
-        inner = near.join(cut, "g").where("d2 <= cut")
+        inner = near.join(bounded_broadcast(materialize(cut, f"mcd-cut-{step}"), BROADCAST_GROUPS), "g").where("d2 <= cut")
         moments = inner.groupBy("g").agg(
             *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
             *[F.covar_pop(f"x{i}", f"x{j}").alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)],
@@ -134,7 +137,7 @@ def robust_distances(rows: DataFrame, floor: tuple[float, ...] = FLOOR, share: f
             *[(F.col(f"v_{i}_{j}") * CONSISTENCY + (floor[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
         )
     final = materialize(_factored(groups, p), "mcd-final")
-    return rows.join(final, "g").select(*keep, _distance(p).alias("d2"))
+    return rows.join(bounded_broadcast(final, BROADCAST_GROUPS), "g").select(*keep, _distance(p).alias("d2"))
 
 
 def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
