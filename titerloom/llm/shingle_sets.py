@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from titerloom.llm.common import bounded_broadcast, materialize, text_hash
+from titerloom.llm.common import bounded_broadcast, materialize, releasing, text_hash
 from titerloom.llm.graph import components
 
 WIDTH = 5
@@ -83,8 +83,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(ArrayType(LongType()))
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([shingles(t) for t in batch], dtype=object)
+    yield from releasing(lambda batches: (pd.Series([shingles(t) for t in batch], dtype=object) for batch in batches))(texts)
 
 
 def _enough(overlap: Column, n: Column, m: Column) -> Column:

@@ -73,8 +73,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(LongType())
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
+    yield from releasing(lambda batches: (pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64)) for batch in batches))(texts)
 
 
 def bit_planes(fps: np.ndarray, words: int) -> np.ndarray:
@@ -169,7 +168,7 @@ def _link_groups(radius: int):
         if len(held_k):
             yield linked(held_k, held_f)
 
-    return run
+    return releasing(run)
 
 
 def table_keys(fp: Column, classes: int, radius: int) -> Column:
