@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from titerloom.llm.common import bounded_broadcast, load, materialize, shared_dir, text_hash
+from titerloom.llm.common import arrow_batches, bounded_broadcast, load, materialize, shared_dir, text_hash
 from titerloom.llm.queries import tokenizer_path
 
 
 #: Keys of rows, of 16 bytes, that are broadcast.
 MAX_BROADCAST = 200_000
+#: Rows handed to Python at once: stages follow each other in the same executors and workers, whose memory adds up.
+ARROW_ROWS = 1000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -97,6 +99,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/titerloom/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with arrow_batches(spark, ARROW_ROWS):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
