@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from titerloom.llm.common import releasing
 
 END = "</w>"
-#: Entries of each memo; a full one is emptied.
-MEMO = 400_000
+#: Entries of each memo; a full one is emptied, that of pieces at its second turn.
+MEMO = 100_000
+#: The same of the memo of beginnings, whose entries are the largest.
+MEMO_BEGUN = 40_000
 #: Symbols held before stable tokens are looked for.
 CHECK = 64
 #: Characters of a piece beyond which it is streamed and not remembered.
@@ -217,7 +219,7 @@ class Transducer:
             live = kept
             last.append(hit)
             if i + 1 in BEGINNINGS:
-                if len(self.begun) >= MEMO:
+                if len(self.begun) >= MEMO_BEGUN:
                     self.begun.clear()
                 self.begun[symbols[: i + 1]] = (last.copy(), live.copy())
             if len(last) >= CHECK:
@@ -327,6 +329,7 @@ class Encoder:
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.known: dict[str, str] = {}
         self.known_texts: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
         #: Decodes the ids of one piece, at whose end no byte is pending.
         self.decoder = Decoder(self.tokens, self.added, plain=True)
 
@@ -358,12 +361,15 @@ class Encoder:
             found = (m.group() for m in cut.finditer(low)) if len(low) > SLICE else iter(cut.findall(low))
             while pieces := list(islice(found, SLICE)):
                 if len(self.known) >= MEMO:
-                    self.known.clear()
-                    self.known_texts.clear()
+                    # What was met since the last turn stays for another one.
+                    self.older, self.known, self.known_texts = (self.known, self.known_texts), {}, {}
                 new = set(pieces).difference(self.known)
                 long = {p for p in new if len(p) > LONG}
                 for piece in new - long:
-                    self.learn(piece)
+                    if piece in self.older[0]:
+                        self.known[piece], self.known_texts[piece] = self.older[0][piece], self.older[1][piece]
+                    else:
+                        self.learn(piece)
                 for is_long, run in groupby(pieces, long.__contains__) if long else [(False, pieces)]:
                     if is_long:
                         for piece in run:

@@ -11,7 +11,6 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,18 +66,6 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return wrapped
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Plans made within hand Python at most so many rows at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a materialized table of narrow rows for broadcast if it has max_rows or fewer;
     otherwise leave it to a shuffled join."""
