@@ -5,7 +5,6 @@ Events: entry, ts, source, job, kind, what (start or finish), signature, file, p
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +74,33 @@ def pair_in_order(ev: DataFrame, signature: list[str]) -> DataFrame:
     return s.select(*key, F.col("ts").alias("start")).join(f.select(*key, F.col("ts").alias("end")), key, "full_outer")
 
 
-def pair_fifo(ev: DataFrame, signature: str) -> DataFrame:
-    """Exact first-in first-out pairing within a signature, which is walked in order with a queue
-    of the open starts; a finish that finds none starts its duration earlier."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "entry"], kind="stable")
-        waiting: list = []
-        out: list[tuple] = []
-        for sig, ts, what, ms in zip(rows["signature"], rows["ts"], rows["what"], rows["duration_ms"], strict=True):
-            if what == "start":
-                waiting.append(ts)
-            else:
-                start = waiting.pop(0) if waiting else ts - pd.Timedelta(milliseconds=0 if pd.isna(ms) else int(ms))
-                out.append((sig, start, ts, "done"))
-        out += [(rows["signature"].iloc[0], ts, pd.NaT, "open") for ts in waiting]
-        return pd.DataFrame(out, columns=["signature", "start", "end", "status"])
-
-    rows = ev.select(F.col(signature).alias("signature"), "ts", "entry", "what", "duration_ms")
-    return rows.groupBy("signature").applyInPandas(walk, "signature string, start timestamp, end timestamp, status string")
+def pair_fifo(ev: DataFrame, signature: str, slice_of: str = "day") -> DataFrame:
+    """Exact first-in first-out pairing within a signature; a finish that finds no open start
+    starts its duration earlier.
+
+    A finish finds none where the balance of starts and finishes falls to a new low below zero;
+    the n-th of the others takes the n-th start. Balances run within slices of time, and sums of
+    slices carry over, so that a signature with a third of all events isn't walked in one task."""
+    first, here = Window.unboundedPreceding, Window.partitionBy("signature", "slice").orderBy("ts", "entry")
+    to, until = here.rowsBetween(first, 0), here.rowsBetween(first, -1)
+    rows = ev.select(F.col(signature).alias("signature"), "ts", "entry", F.coalesce(F.col("what") == "start", F.lit(False)).alias("is_start"), "duration_ms", F.date_trunc(slice_of, "ts").alias("slice"))
+    run = rows.withColumns({"starts": F.sum(F.col("is_start").cast("long")).over(to), "seen": F.count(F.lit(1)).over(to)}).withColumn("balance", F.col("starts") * 2 - F.col("seen"))
+    run = run.withColumns({"low": F.min("balance").over(to), "low_until": F.min("balance").over(until)})
+    earlier = Window.partitionBy("signature").orderBy("slice").rowsBetween(first, -1)
+    slices = run.groupBy("signature", "slice").agg(F.max("starts").alias("starts"), F.max("seen").alias("seen"), F.min("balance").alias("low"))
+    slices = slices.withColumns({f"{c}_0": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("starts", "seen")}).withColumn("balance_0", F.col("starts_0") * 2 - F.col("seen_0"))
+    slices = slices.withColumn("low_0", F.least(F.lit(0), F.min(F.col("balance_0") + F.col("low")).over(earlier))).select("signature", "slice", "starts_0", "seen_0", "balance_0", "low_0")
+    x = run.alias("x").join(slices.alias("y"), F.expr("x.signature <=> y.signature and x.slice <=> y.slice")).select("x.*", "starts_0", "seen_0", "balance_0", "low_0")
+    starts, seen = F.col("starts_0") + F.col("starts"), F.col("seen_0") + F.col("seen")
+    low, low_until = (F.least("low_0", F.col("balance_0") + F.col(c)) for c in ("low", "low_until"))
+    # The low below zero is the number of finishes that found none.
+    n = F.when(F.col("is_start"), starts).otherwise(seen - starts + low)
+    x = x.select("signature", "ts", "duration_ms", "is_start", n.alias("n"), (~F.col("is_start") & (low < low_until)).alias("lone"))
+    s, f, lone = x.where("is_start"), x.where("not is_start and not lone"), x.where("lone")
+    met = s.alias("s").join(f.alias("f"), F.expr("s.signature <=> f.signature and s.n = f.n"), "left")
+    pairs = met.select("s.signature", F.col("s.ts").alias("start"), F.col("f.ts").alias("end"), F.when(F.col("f.n").isNull(), F.lit("open")).otherwise(F.lit("done")).alias("status"))
+    back = F.col("ts") - F.make_dt_interval(secs=(F.coalesce("duration_ms", F.lit(0)) / 1000).cast("decimal(18,6)"))
+    return pairs.unionByName(lone.select("signature", back.alias("start"), F.col("ts").alias("end"), F.lit("done").alias("status")))
 
 
 def batch_stats(spans: DataFrame) -> DataFrame:

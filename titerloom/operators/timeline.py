@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titerloom.functions import dates as D
@@ -19,31 +21,57 @@ def bars(medications: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns({"start_month": D.month_key(F.col("start_on")), "end_month": F.coalesce(D.month_key(F.col("end_on")), F.lit(""))})
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """First fit: a bar joins the first lane whose last bar ends by its start, or in its month."""
-    rows = rows.sort_values(["start", "end", "bar"], kind="stable").reset_index(drop=True)
+def _first_fit(bars: list[tuple]) -> list[tuple]:
+    """A bar joins the first lane whose last bar ends by its start, or in its month."""
     lanes: list[int] = []  # the last bar of each
-    lane, shown = [], rows["end"].tolist()
-    start, end, sm, em = (rows[c].tolist() for c in ("start", "end", "start_month", "end_month"))
-    for i in range(len(rows)):
+    lane, shown = [], [bar[3] for bar in bars]
+    for i, (_, _, start, _, month, _) in enumerate(bars):
         for k, last in enumerate(lanes):
-            if start[i] >= end[last] or (em[last] and em[last] == sm[i]):
-                shown[last] = min(shown[last], start[i])
+            if start >= bars[last][3] or (bars[last][5] and bars[last][5] == month):
+                shown[last] = min(shown[last], start)
                 lane.append(k)
                 lanes[k] = i
                 break
         else:
             lane.append(len(lanes))
             lanes.append(i)
-    return rows.assign(lane=lane, shown_end=shown)[["owner", "bar", "start", "end", "lane", "shown_end"]]
+    return [(*bar[:4], k, until) for bar, k, until in zip(bars, lane, shown, strict=True)]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of bars, one after the other; the bars of one run are held."""
+    names = ["owner", "bar", "start", "end", "lane", "shown_end"]
+    held: list[tuple] = []
+    types: list[pa.DataType] = []
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    for batch in batches:
+        kinds = [c.type for c in batch.columns]
+        types, done = [*kinds[:4], pa.int32(), kinds[3]], []
+        for *bar, head in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if head:
+                done += _first_fit(held)
+                held = []
+            held.append(tuple(bar))
+        if done:
+            yield packed(done)
+    if held:
+        yield packed(_first_fit(held))
 
 
 def lanes(rows: DataFrame) -> DataFrame:
     """rows: owner, bar, start, end, start_month, end_month. Adds lane (from 0) and shown_end,
-    where the bar is drawn to. An owner's bars are packed together: each depends on all before."""
+    where the bar is drawn to. An owner's bars are cut into runs where none of those before is
+    still open: every lane is free there, so runs are packed each on its own."""
     types = dict(rows.dtypes)
     schema = f"owner {types['owner']}, bar {types['bar']}, start {types['start']}, end {types['end']}, lane int, shown_end {types['end']}"
-    return rows.select("owner", "bar", "start", "end", "start_month", "end_month").groupBy("owner").applyInPandas(_pack, schema)
+    order = Window.partitionBy("owner").orderBy("start", "end", "bar")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.select("owner", "bar", "start", "end", "start_month", "end_month", F.coalesce(F.col("start") >= reached, F.lit(True)).alias("head"))
+    runs = cut.withColumn("run", F.count_if("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.repartition("owner", "run").sortWithinPartitions("owner", "run", "start", "end", "bar").drop("run").mapInArrow(_pack, schema)
 
 
 def time_range(rows: DataFrame) -> DataFrame:

@@ -43,10 +43,16 @@ def log_pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("kind", "file", F.col("nth").cast("long").alias("nth"), "start", F.col("end").alias("end_at"))
 
 
-@query()
+@query(f"""WITH {EV}, o AS (SELECT *, concat_ws(':', kind, file) AS signature FROM ev),
+b AS (SELECT *, sum(CASE WHEN what = 'start' THEN 1 ELSE -1 END) OVER (PARTITION BY signature ORDER BY ts, entry ROWS UNBOUNDED PRECEDING) AS balance FROM o),
+m AS (SELECT *, what = 'finish' AND balance < least(0, min(balance) OVER (PARTITION BY signature ORDER BY ts, entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS lone FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY signature, what, lone ORDER BY ts, entry) AS nth FROM m)
+SELECT s.signature, s.ts AS start, f.ts AS end_at, CASE WHEN f.ts IS NULL THEN 'open' ELSE 'done' END AS status FROM (SELECT * FROM k WHERE what = 'start') s LEFT JOIN (SELECT * FROM k WHERE what = 'finish' AND NOT lone) f ON s.signature = f.signature AND s.nth = f.nth
+UNION ALL SELECT signature, ts - to_milliseconds(coalesce(duration_ms, 0)), ts, 'done' FROM k WHERE lone""")
 def log_pair_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("file is not null").withColumn("sig", F.concat_ws(":", "kind", "file"))
-    return logspans.pair_fifo(ev, "sig")
+    """Every event; those without a file share their kind's signature."""
+    ev = events(spark, sf_dir).withColumn("sig", F.concat_ws(":", "kind", "file"))
+    return logspans.pair_fifo(ev, "sig").withColumnRenamed("end", "end_at")
 
 
 @query(f"""WITH {SPANS} SELECT coalesce(lane, 'unknown') AS lane, count(*) AS n, CAST(floor(avg(ms) + 0.5) AS BIGINT) AS avg_ms, max(ms) AS max_ms, count(DISTINCT file) AS files,

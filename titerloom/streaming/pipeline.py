@@ -1,7 +1,7 @@
 """Incremental processing: new raw results meet the rules known so far, micro-batch by micro-batch.
 
 The rule tables are read anew for each batch. Rows still pending are kept beside the
-resolved ones and tried again with every batch, until a pass changes nothing.
+resolved ones and tried again with every batch.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from titerloom.operators.rules import apply_rules
 
@@ -25,16 +26,31 @@ def process(rows: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
 
 
 def start(source: DataFrame, rules: Rules, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run a stream of raw results into out/batch=N. A batch written again after a failure takes the
-    place of its first attempt, so each row is there once."""
+    """Run a stream of raw results into out/batch=N. The rows that batch N - 1 left pending are put
+    through the rules again with batch N; current() is what stands. A batch written again after a
+    failure reads the same batch before it and takes the place of its first attempt, so each row
+    counts once."""
+    raw = source.columns
+    kept = StructType([*source.schema.fields, StructField("status", StringType())])
 
     def write(batch: DataFrame, number: int) -> None:
-        process(batch, rules(batch.sparkSession)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        if number:
+            before = spark.read.schema(kept).parquet(f"{out}/batch={number - 1}")
+            batch = batch.unionByName(before.where("status = 'pending'").select(*raw))
+        process(batch, rules(spark)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     w = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """Of the rows that start() wrote, those resolved in any batch and those pending in the last."""
+    rows = spark.read.parquet(out)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where((F.col("status") != "pending") | (F.col("batch") == F.lit(last)))
+
+
 def retry_pending(done: DataFrame, raw_columns: list[str], rules: dict[str, DataFrame]) -> DataFrame:
     """done with its pending rows put through the rules again."""
     again = process(done.where("status = 'pending'").select(*raw_columns), rules)
