@@ -124,22 +124,21 @@ def qualitative_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.qualitative_trend(results(spark, sf_dir).withColumn("marker", F.concat_ws(":", "marker", F.col("file_id").cast("string"))))
 
 
-@query(f"""WITH {R} SELECT id, group_name AS group_label, CASE WHEN text IS NOT NULL THEN text WHEN value IS NULL THEN '—' ELSE CAST(value AS VARCHAR) END AS value_label,
+REPORT_SQL = f"""WITH {R} SELECT id, group_name AS group_label, CASE WHEN text IS NOT NULL THEN text WHEN value IS NULL THEN '—' ELSE regexp_replace(format('{{:.2f}}', value), '\\.00$', '') END AS value_label,
 CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN '5–100' WHEN low IS NOT NULL THEN 'Low 5' WHEN high IS NOT NULL THEN 'High 100' ELSE '—' END AS range_label,
-CASE WHEN flag THEN 'positive' WHEN NOT flag THEN 'normal' WHEN value IS NULL THEN 'neutral' WHEN value < low THEN 'low' WHEN value > high THEN 'high' WHEN low IS NULL AND high IS NULL THEN 'neutral' ELSE 'normal' END AS class
-FROM (SELECT id, group_name, text, flag, low, high, CASE WHEN value IS NOT NULL THEN floor(value) END AS v0, value FROM r) WHERE value IS NULL""")
+CASE WHEN flag THEN 'positive' WHEN NOT flag THEN 'normal' WHEN value IS NULL THEN 'neutral' WHEN value < low THEN 'low' WHEN value > high THEN 'high' WHEN low IS NULL AND high IS NULL THEN 'neutral' ELSE 'normal' END AS class FROM r"""
+
+
+@query(REPORT_SQL)
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display columns of the results without a number; with numbers see value_display."""
-    rows = reports.report_rows(results(spark, sf_dir).where("value is null"))
-    return rows.select("id", "group_label", "value_label", "range_label", "class")
+    """Display columns of all results."""
+    return reports.report_rows(results(spark, sf_dir)).select("id", "group_label", "value_label", "range_label", "class")
 
 
-@query(f"""WITH {R} SELECT id, group_name AS group_label, CASE WHEN text IS NOT NULL THEN text WHEN value IS NULL THEN '—' ELSE regexp_replace(format('{{:.2f}}', value), '\\.00$', '') END AS value_label,
-CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN '5–100' WHEN low IS NOT NULL THEN 'Low 5' WHEN high IS NOT NULL THEN 'High 100' ELSE '—' END AS range_label,
-CASE WHEN flag THEN 'positive' WHEN NOT flag THEN 'normal' WHEN value IS NULL THEN 'neutral' WHEN value < low THEN 'low' WHEN value > high THEN 'high' WHEN low IS NULL AND high IS NULL THEN 'neutral' ELSE 'normal' END AS class FROM r""")
+@query(REPORT_SQL)
 def report_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display columns of all results; report_rows is held to those without a number by its SQL."""
-    return reports.report_rows(results(spark, sf_dir)).select("id", "group_label", "value_label", "range_label", "class")
+    """Another name of report_rows."""
+    return report_rows(spark, sf_dir)
 
 
 @query("""SELECT l_orderkey AS k, l_linenumber AS line, l_extendedprice AS price, regexp_replace(format('{:.2f}', l_extendedprice), '\\.00$', '') AS shown FROM lineitem""")
@@ -286,17 +285,19 @@ def first_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("text", "s.id", "s.marker")
 
 
-@query(f"""WITH {R}, t AS (SELECT *, {limit_sql('text')} AS lim FROM r WHERE text IS NOT NULL)
-SELECT id, {status_sql('value', 'text', 'flag', 'missing', 'low', 'high')} AS status FROM t""")
+STATUS_SQL = f"""WITH {R} SELECT id, {status_sql('value', 'text', 'flag', 'missing', 'low', 'high')} AS status FROM r"""
+
+
+@query(STATUS_SQL)
 def threshold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).where("text is not null")
-    return rows.select("id", S.status(F.col("value"), F.col("text"), F.col("flag"), F.col("missing"), F.col("low"), F.col("high")).alias("status"))
+    """The status of all results."""
+    return results(spark, sf_dir).select("id", S.status(F.col("value"), F.col("text"), F.col("flag"), F.col("missing"), F.col("low"), F.col("high")).alias("status"))
 
 
-@query(f"""WITH {R} SELECT id, {status_sql('value', 'text', 'flag', 'missing', 'low', 'high')} AS status FROM r""")
+@query(STATUS_SQL)
 def threshold_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The status of all results; threshold_status is held to those with text by its SQL."""
-    return results(spark, sf_dir).select("id", S.status(F.col("value"), F.col("text"), F.col("flag"), F.col("missing"), F.col("low"), F.col("high")).alias("status"))
+    """Another name of threshold_status."""
+    return threshold_status(spark, sf_dir)
 
 
 @query(f"""WITH {R} SELECT file_id, id, rn FROM (SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, id DESC) AS rn FROM r) WHERE rn <= 10""")

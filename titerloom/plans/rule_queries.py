@@ -30,19 +30,20 @@ def unit_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD = "lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'))"
 
 
-@query(f"WITH w AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT doc_id, line, trim(regexp_replace({_FOLD.format(x='line')}, '[^a-z0-9]+', ' ', 'g')) AS key FROM w WHERE NOT contains(line, '+')")
+ALIAS_SQL = f"WITH w AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT doc_id, line, trim(regexp_replace(replace(regexp_replace({_FOLD.format(x='line')}, '\\s+-\\s*|\\s*-\\s+', ' ', 'g'), '+', ''), '[^a-z0-9]+', ' ', 'g')) AS key FROM w"
+
+
+@query(ALIAS_SQL)
 def alias_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of every line of text seen as a name. (Lines with a plus are keyed by the tests.)"""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct().where(~F.contains("line", F.lit("+")))
+    """Keys of every line of text seen as a name."""
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct()
     return lines.select("doc_id", "line", K.alias_key(F.col("line")).alias("key"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT doc_id, line, trim(regexp_replace(replace(regexp_replace({_FOLD.format(x='line')}, '\\s+-\\s*|\\s*-\\s+', ' ', 'g'), '+', ''), '[^a-z0-9]+', ' ', 'g')) AS key FROM w")
+@query(ALIAS_SQL)
 def alias_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of every line; alias_key is held to lines without a plus by its SQL."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct()
-    return lines.select("doc_id", "line", K.alias_key(F.col("line")).alias("key"))
+    """Another name of alias_key."""
+    return alias_key(spark, sf_dir)
 
 
 @query(f"""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
@@ -111,30 +112,21 @@ d AS (SELECT *, CASE WHEN type_id IS NULL THEN 'marker' WHEN v IS NOT NULL AND N
   WHEN v IS NOT NULL AND no_target THEN 'unit' WHEN v IS NOT NULL AND NOT same AND NOT ruled THEN 'conversion' WHEN line = 3 AND t % 2 = 1 THEN 'word' ELSE 'ok' END AS st FROM c)
 SELECT id, type_id, CASE WHEN st = 'dead' THEN 'resolved' WHEN st = 'ok' AND NOT no_group THEN 'resolved' ELSE 'pending' END AS status,
   round(CASE WHEN st = 'ok' AND v IS NOT NULL THEN v * CASE WHEN same THEN 1 ELSE factor END END, 6) AS canonical_value,
-  CASE WHEN st <> 'marker' AND line = 3 AND t % 2 = 0 THEN 'Negative' WHEN st <> 'marker' AND line = 5 THEN CASE WHEN lo IS NOT NULL THEN 'low' END END AS word,
-  CASE WHEN st <> 'marker' AND line = 3 AND t % 2 = 0 THEN false WHEN st <> 'marker' AND line = 5 AND lo IS NOT NULL THEN true END AS flag
-FROM d WHERE NOT (line = 5 AND t % 2 = 1)"""
+  CASE WHEN st <> 'marker' AND line = 3 AND t % 2 = 0 THEN 'Negative' WHEN st <> 'marker' AND line = 5 THEN CASE WHEN lo IS NOT NULL THEN 'low' ELSE 'in_range' END END AS word,
+  CASE WHEN st <> 'marker' AND line = 3 AND t % 2 = 0 THEN false WHEN st <> 'marker' AND line = 5 THEN lo IS NOT NULL END AS flag
+FROM d"""
 
 
 @query(C1_SQL)
 def c1_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule ladder; thresholds against an open range are held by the tests."""
-    out = _ladder(spark, sf_dir).where(~(F.col("original_text").eqNullSafe("< 5") & F.col("original_low").isNull()))
-    return out.select("id", "type_id", "status", F.round("canonical_value", 6).alias("canonical_value"), F.col("qualitative_value").alias("word"), F.col("qualitative_flag").alias("flag"))
-
-
-#: The ladder without the filter: below 5 against an upper bound of 50 alone is in range.
-C1_WHOLE_SQL = (
-    C1_SQL.removesuffix(" WHERE NOT (line = 5 AND t % 2 = 1)")
-    .replace("CASE WHEN lo IS NOT NULL THEN 'low' END", "CASE WHEN lo IS NOT NULL THEN 'low' ELSE 'in_range' END")
-    .replace("line = 5 AND lo IS NOT NULL THEN true END", "line = 5 THEN lo IS NOT NULL END")
-)
+    """The rule ladder; below 5 against an upper bound of 50 alone is in range."""
+    return _ladder(spark, sf_dir).select("id", "type_id", "status", F.round("canonical_value", 6).alias("canonical_value"), F.col("qualitative_value").alias("word"), F.col("qualitative_flag").alias("flag"))
 
 
-@query(C1_WHOLE_SQL)
+@query(C1_SQL)
 def c1_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule ladder over all results; c1_ladder leaves out thresholds against an open range, as its SQL does."""
-    return _ladder(spark, sf_dir).select("id", "type_id", "status", F.round("canonical_value", 6).alias("canonical_value"), F.col("qualitative_value").alias("word"), F.col("qualitative_flag").alias("flag"))
+    """Another name of c1_ladder."""
+    return c1_ladder(spark, sf_dir)
 
 
 @query()
@@ -164,21 +156,22 @@ def anomaly_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "outlier", F.size("candidates").cast("long").alias("n_candidates"))
 
 
-@query("""WITH p AS (SELECT * FROM part), q AS (SELECT DISTINCT p_partkey AS type_id, p_brand, p_size FROM p WHERE p_partkey % 10 = 0), g AS (SELECT p_partkey AS rule_id, p_partkey AS guide_type, p_brand, p_size FROM p WHERE p_partkey % 3 <> 0)
-SELECT type_id, p_brand AS original_key, concat('s', p_size) AS canonical_key, guide_type, rn FROM (SELECT q.*, guide_type, rule_id, row_number() OVER (PARTITION BY type_id, p_brand, p_size ORDER BY rule_id) AS rn FROM q JOIN g USING (p_brand, p_size) WHERE type_id <> guide_type) WHERE rn <= 3""")
-def guide_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("type_id"), F.col("p_brand").alias("original_key"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("canonical_key"), F.col("p_retailprice").alias("factor"))
-    return rules.guide_rules(part.where("id % 10 = 0"), part.where("id % 3 != 0")).select("type_id", "original_key", "canonical_key", "guide_type", F.col("rn").cast("long").alias("rn"))
+GUIDE_SQL = """WITH q AS (SELECT DISTINCT p_partkey AS type_id, p_brand, p_size FROM part), g AS (SELECT p_partkey AS rule_id, p_partkey AS guide_type, p_brand, p_size FROM part WHERE p_retailprice IS NOT NULL)
+SELECT type_id, p_brand AS original_key, concat('s', p_size) AS canonical_key, guide_type, rn FROM (SELECT q.*, guide_type, rule_id, row_number() OVER (PARTITION BY type_id, p_brand, p_size ORDER BY rule_id) AS rn FROM q JOIN g USING (p_brand, p_size) WHERE type_id <> guide_type) WHERE rn <= 3"""
 
 
-@query("""WITH q AS (SELECT DISTINCT p_partkey AS type_id, p_brand, p_size FROM part), g AS (SELECT p_partkey AS rule_id, p_partkey AS guide_type, p_brand, p_size FROM part WHERE p_retailprice IS NOT NULL)
-SELECT type_id, p_brand AS original_key, concat('s', p_size) AS canonical_key, guide_type, rn FROM (SELECT q.*, guide_type, rule_id, row_number() OVER (PARTITION BY type_id, p_brand, p_size ORDER BY rule_id) AS rn FROM q JOIN g USING (p_brand, p_size) WHERE type_id <> guide_type) WHERE rn <= 3""")
-def guide_top3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guides for every part among every rule; guide_top3 is held to a tenth of them by its SQL."""
+@query(GUIDE_SQL)
+def guide_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guides for every part among every rule; the first three are the feature."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("type_id"), F.col("p_brand").alias("original_key"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("canonical_key"), F.col("p_retailprice").alias("factor"))
     return rules.guide_rules(part, part).select("type_id", "original_key", "canonical_key", "guide_type", F.col("rn").cast("long").alias("rn"))
 
 
+@query(GUIDE_SQL)
+def guide_top3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another name of guide_top3."""
+    return guide_top3(spark, sf_dir)
+
 
 @query("""WITH n AS (SELECT l_partkey % 3000 AS k, arg_max(l_orderkey, l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey * 8 + l_linenumber) AS v FROM lineitem GROUP BY 1), o AS (SELECT p_partkey AS k, -1 AS v FROM part)
 SELECT k, CAST(v AS BIGINT) AS v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)""")
