@@ -194,3 +194,20 @@ def test_gauges_marks_and_failures(spark):
     says = {"HTTP 413": "split", "Failed to parse request body": "split", "Timeout waiting for session.idle": "timeout", "timeout": "other", "Too Many Requests": "rate_limited", "429": "rate_limited", "bad json": "other"}
     df = spark.createDataFrame(list(says.items()), "t string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", sets.failure_kind(F.col("t")).alias("got")).collect())
+
+
+def test_stream_takes_pending_rows_along(spark, tmp_path):
+    raw = "id long, raw_name string, original_value double, original_text string, original_unit string, original_low double, original_high double"
+    row = lambda i, name: (i, name, 1.0, None, None, None, None)
+    table = {
+        "types": spark.createDataFrame([(1, "Iron", "Blood", "g/L")], "type_id long, type_name string, group_name string, canonical_unit string"),
+        "aliases": spark.createDataFrame([("iron", 1)], "alias_key string, type_id long"),
+        "unit_rules": spark.createDataFrame([], "type_id long, original_key string, canonical_key string, factor double"),
+        "word_rules": spark.createDataFrame([], "word_key string, word string, flag boolean"),
+    }
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows, names in (([row(1, "Iron"), row(2, "New"), row(3, "Odd")], ["iron"]), ([row(4, "Iron")], ["iron", "new"])):
+        spark.createDataFrame(rows, raw).write.mode("append").parquet(folder)
+        table["aliases"] = spark.createDataFrame([(n, 1) for n in names], "alias_key string, type_id long")
+        pipeline.start(spark.readStream.schema(raw).parquet(folder), lambda s: table, out, ck).awaitTermination(60)
+    assert sorted((r["id"], r["status"]) for r in pipeline.current(spark, out).collect()) == [(1, "resolved"), (2, "resolved"), (3, "pending"), (4, "resolved")]
