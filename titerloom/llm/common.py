@@ -31,8 +31,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share. Where none is set, a local session gets one of
+    our own; a cluster's executors wouldn't see that, so there ValueError is raised."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (given or _own_dir()).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

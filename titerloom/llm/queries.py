@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titerloom.llm import bpe, decontaminate, langid, line_dedup, ngram_bloom, outliers, sharding, simhash, surrogates, toxicity
-from titerloom.llm.common import load
+from titerloom.llm import bpe, decontaminate, langid, line_dedup, ngram_bloom, outliers, sharding, simhash, surrogates, token_records, toxicity
+from titerloom.llm.common import load, shared_dir
 
 #: A parameter: where the tokenizer file lies when the package that holds it can't be asked.
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 SHARDS = [1.0] * 8
 #: Words that may stand between those of a benchmark window for it to count as near.
 SLOP = 5
@@ -17,10 +20,10 @@ SLOP = 5
 SURROGATE_KEY = b"titerloom demonstration key"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/titerloom/records-{uuid.uuid4().hex}"
+    token_records.write_records(load(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path(BYTE_TOKENIZER), END_ID)
+    return token_records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +96,7 @@ QUERIES = {
         op8_byte_cnn_language,
         op9_log_frequency_bloom,
         op10_simhash,
+        op13_token_records,
     )
 }
 
