@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titerloom.llm import bpe, decontaminate, langid, line_dedup, ngram_bloom, outliers, sharding, simhash, surrogates, token_records, toxicity
+from titerloom.llm import bpe, decontaminate, gnat, langid, line_dedup, ngram_bloom, outliers, periodic_runs, sharding, simhash, surrogates, token_records, toxicity
 from titerloom.llm.common import load, shared_dir
 
 #: A parameter: where the tokenizer file lies when the package that holds it can't be asked.
@@ -77,6 +77,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "embeddings")
+    # A label or vector that is null or not finite keeps its row out.
+    usable = table.where("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = usable.select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
+    return gnat.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(load(spark, sf_dir, "documents"), change=periodic_runs.repeated_from))
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/titerloom/records-{uuid.uuid4().hex}"
     token_records.write_records(load(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path(BYTE_TOKENIZER), END_ID)
@@ -96,6 +109,8 @@ QUERIES = {
         op8_byte_cnn_language,
         op9_log_frequency_bloom,
         op10_simhash,
+        op11_hard_negatives,
+        op12_periodic_runs,
         op13_token_records,
     )
 }
@@ -200,4 +215,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2_SQL, "op5_rendezvous_shards": OP5_SQL, "op7_decontaminate": OP7_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLES = {"op11_hard_negatives": OP11_SQL, "op2_line_dedup": OP2_SQL, "op5_rendezvous_shards": OP5_SQL, "op7_decontaminate": OP7_SQL}
