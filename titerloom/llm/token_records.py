@@ -25,8 +25,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from titerloom.llm.common import give_back, releasing, text_hash
+from titerloom.llm.common import give_back, text_hash
 
 FORMAT = "token_records"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -51,7 +53,9 @@ FRAME = LENGTH.size + 2 * SUM.size
 PER_TASK, PER_BATCH = 32 << 20, 4 << 20
 #: Characters that are encoded at once; chunks of text whose ids a worker remembers, in each of two
 #: generations; characters beyond which a chunk isn't remembered.
-AT_ONCE, MEMO, LONG = 1 << 16, 400_000, 256
+AT_ONCE, MEMO, LONG = 1 << 16, 600_000, 256
+#: Marks that stand apart from the letter before them, if it is below LATIN.
+MARKS, LATIN = ".,;:!?", "\u0250"
 #: A chunk: white space and what follows it up to the next; the tokenizer never joins what stands
 #: on both sides of the place where white space begins. 1C to 1F are white space in Python alone.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -94,23 +98,32 @@ class Encoder:
         # Strings of added tokens may hold white space or swallow what stands around them.
         self.added = [t["content"] for t in config["added_tokens"]]
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = next(c for c in "HIL" if array(c).itemsize == self.type.itemsize)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def pack(self, ids: Sequence[int]) -> bytes:
-        return np.array(ids, dtype=self.type).tobytes()
+        numbers = array(self.code, ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return numbers.tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        """Bring chunks into the memo: from its older generation, or from the library."""
+        """Bring chunks into the memo: from its older generation, or from the library. A mark after a
+        letter of a chunk is a piece of its own, so that a word is looked up once, with and without."""
+        marked = {c for c in chunks if c[-1] in MARKS and c[-2:-1].isalpha() and c[-2] < LATIN and c not in self.old}
         missing = []
-        for c in chunks:
-            ids = self.old.get(c)
-            if ids is None:
-                missing.append(c)
-            else:
-                self.new[c] = ids
+        for c in chunks - marked | {c[:-1] for c in marked} | {c[-1] for c in marked}:
+            if c not in self.new:
+                ids = self.old.get(c)
+                if ids is None:
+                    missing.append(c)
+                else:
+                    self.new[c] = ids
         for c, found in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.new[c] = self.pack(found.ids)
+        for c in marked:
+            self.new[c] = self.new[c[:-1]] + self.new[c[-1]]
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(a in text for a in self.added):
@@ -143,23 +156,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
-    """doc_id and ids (binary, width bytes an id) of every text, closed by the id end; in ascending
-    order of doc_id, partition after partition. Only doc_id and text are shuffled, once; a doc_id of
-    very many rows is dealt out by the texts' hashes."""
-    keyed = docs.select("doc_id", "text", text_hash().alias("hash"))
-    placed = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        tail = b"" if end is None else enc.pack([end])
-        for batch in batches:
-            ids = [enc.encode(t or "") + tail for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([enc.type.itemsize] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
-
-    return placed.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, ids binary, width int")
-
-
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -176,11 +172,15 @@ class Shard(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path, overwrite
+    """Of rows with doc_id and text, which are encoded here: a worker then has one memo for both."""
+
+    def __init__(self, path: str, tokenizer: str, end: int | None, overwrite: bool) -> None:
+        self.path, self.tokenizer, self.end, self.overwrite = path, tokenizer, end, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
         """A shard and its index, under names no other attempt has."""
+        enc = encoder(self.tokenizer)
+        width, tail = enc.type.itemsize, b"" if self.end is None else enc.pack([self.end])
         task = TaskContext.get()
         place = task.partitionId() if task else 0
         files, root = opened(self.path)
@@ -189,11 +189,12 @@ class Writer(DataSourceArrowWriter):
         at, tokens, offsets, counts = 0, 0, [0], [0]
         with files.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as out:
             for batch in iterator:
-                for doc_id, ids, width in zip(*(batch.column(c) for c in ("doc_id", "ids", "width")), strict=True):
-                    record = frame(HEAD.pack(width.as_py(), doc_id.is_valid, doc_id.as_py() or 0) + (ids.as_py() or b""))
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    ids = enc.encode(text.as_py() or "") + tail
+                    record = frame(HEAD.pack(width, doc_id is not None, doc_id or 0) + ids)
                     out.write(record)
                     at += len(record)
-                    tokens += len(ids.as_py() or b"") // width.as_py()
+                    tokens += len(ids) // width
                     offsets.append(at)
                     counts.append(tokens)
         with files.open_output_stream(f"{root}/{name}.idx") as out:
@@ -303,7 +304,8 @@ class Reader(DataSourceReader):
 
 
 class TokenRecords(DataSource):
-    """Options: path, and seed for a read in shuffled order. Rows read: doc_id, start (ids of all
+    """Options: path; for a write tokenizer (a file of the tokenizers library) and end (an id to close
+    each text); for a read seed (for a shuffled order). Rows read: doc_id, start (ids of all
     records before it), n_tokens, ids (unsigned, 32 bits, little-endian)."""
 
     @classmethod
@@ -314,7 +316,8 @@ class TokenRecords(DataSource):
         return SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return Writer(self.options["path"], overwrite)
+        end = self.options.get("end")
+        return Writer(self.options["path"], self.options["tokenizer"], None if end is None else int(end), overwrite)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         seed = self.options.get("seed")
@@ -322,9 +325,13 @@ class TokenRecords(DataSource):
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end: int | None = None) -> None:
-    """Encode every text and write its ids under path."""
+    """Encode every text, close it with the id end, and write the ids under path, in ascending order
+    of doc_id. Only doc_id and text are shuffled, once; a doc_id of very many rows is dealt out by
+    its texts' hashes."""
     docs.sparkSession.dataSource.register(TokenRecords)
-    encoded(docs, tokenizer, end).write.format(FORMAT).mode("append").save(path)
+    placed = docs.select("doc_id", "text", text_hash().alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    out = placed.select("doc_id", "text").write.format(FORMAT).option("tokenizer", tokenizer)
+    (out if end is None else out.option("end", str(end))).mode("append").save(path)
 
 
 def read_records(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
