@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+
 from titerloom.llm import periodic_runs as P
 
 
