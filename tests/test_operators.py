@@ -91,6 +91,12 @@ def test_anomaly(spark):
     got = {r["id"]: (r["outlier"], r["candidates"], r["factor"]) for r in out.collect()}
     assert got == {1: (True, [0.001], 0.001), 2: (False, [], None), 3: (True, [0.001], None), 4: (True, [], None)}
     none = spark.createDataFrame([], "id long, signature string, state string, factor double")
+    out = rules.review_signature(out.withColumn("unit", F.when(F.col("id") == 3, F.lit("µg/\"L"))), env)
+    import hashlib
+    import json
+
+    signed = {"canonical_unit": 'µg/"L', "canonical_value": "5000", "reference_low": None, "reference_high": None, "historical_value_min": "4", "historical_value_max": "6", "historical_reference_low_min": "1", "historical_reference_low_max": "1.2", "historical_reference_high_min": "9", "historical_reference_high_max": "10", "history_sample_count": 3, "history_range_count": 3, "candidate_factors": ["0.001"]}
+    assert {r["id"]: r["signature"] for r in out.collect()}[3] == hashlib.sha1(json.dumps(signed, sort_keys=True).encode()).hexdigest()
     done = {r["id"]: r for r in rules.apply_reviews(out, none).collect()}
     assert [done[i]["status"] for i in (1, 2, 3, 4)] == ["resolved", "resolved", "pending", "resolved"] and done[1]["value"] == 5.0
     review = spark.createDataFrame([(3, done[3]["signature"], "resolved", 0.001)], "id long, signature string, state string, factor double")
@@ -191,9 +197,10 @@ def test_gauges_marks_and_failures(spark):
         assert abs(r["g"]["a"] - r["x"]) < 1e-9 and abs(r["g"]["b"] - r["y"]) < 1e-9
     df = spark.createDataFrame([("low", False, "⬇️ "), ("high", False, "⬆️ "), ("normal", False, "↔️ "), ("neutral", False, ""), ("normal", True, ""), ("positive", False, "")], "c string, w boolean, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", reports.mark(F.col("c"), F.col("w")).alias("got")).collect())
-    says = {"HTTP 413": "split", "Failed to parse request body": "split", "Timeout waiting for session.idle": "timeout", "timeout": "other", "Too Many Requests": "rate_limited", "429": "rate_limited", "bad json": "other"}
+    says = {"HTTP 413": "request-too-large", "Failed to parse request body": "request-too-large", "Timeout waiting for session.idle": "timeout", "timeout": "ValueError", "Too Many Requests": "rate-limit", "429": "rate-limit", "HTTP 429: failed to parse request": "rate-limit", "429 timeout session.idle": "timeout", "bad json": "ValueError"}
     df = spark.createDataFrame(list(says.items()), "t string, want string")
-    assert all(r["got"] == r["want"] for r in df.select("want", sets.failure_kind(F.col("t")).alias("got")).collect())
+    assert all(r["got"] == r["want"] for r in df.select("want", sets.failure_kind(F.col("t"), F.lit("ValueError")).alias("got")).collect())
+    assert df.limit(1).select(sets.failure_kind(F.lit("x"), F.lit("TimeoutError")).alias("k")).first()["k"] == "timeout"
 
 
 def test_stream_takes_pending_rows_along(spark, tmp_path):

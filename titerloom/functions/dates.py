@@ -58,4 +58,11 @@ def month_key(text: Column) -> Column:
 
 
 def log_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit(" ms"))).when(ms < 60_000, F.format_string("%.1f s", ms / 1000)).otherwise(F.format_string("%dm %02ds", F.floor(ms / 60_000), F.floor(F.pmod(ms / 1000, F.lit(60)))))
+    """Milliseconds, seconds (two decimals below ten), minutes and seconds, or hours and minutes; halves go up."""
+    whole = F.floor(ms / 1000 + 0.5)
+    minutes, number = F.floor(whole / 60), lambda x: x.cast("long").cast("string")
+    seconds = F.when(ms < 10_000, F.format_string("%.2fs", ms / 1000.0)).otherwise(F.format_string("%.1fs", ms / 1000.0))
+    short = F.concat(number(minutes), F.lit("m "), number(whole % 60), F.lit("s"))
+    long_ = F.concat(number(F.floor(minutes / 60)), F.lit("h "), number(minutes % 60), F.lit("m"))
+    finite = F.coalesce(F.abs(ms.cast("double")) < float("inf"), F.lit(False))
+    return F.when(~finite, F.lit("—")).when(ms < 1000, F.concat(number(F.floor(ms + 0.5)), F.lit("ms"))).when(ms < 60_000, seconds).otherwise(F.when(minutes < 60, short).otherwise(long_))

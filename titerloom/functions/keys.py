@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -37,21 +38,28 @@ def casefold(x: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folds() -> str:
-    """Compatibility decompositions, reduced to ASCII, of the characters that have one."""
-    out = {}
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+def _folds() -> tuple[str, str, str]:
+    """Compatibility decompositions, reduced to ASCII, of all characters that have one: characters and
+    the letters they become, in two texts, and a JSON map of those that become several."""
+    one, letters, several = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         ascii_ = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if ascii_:
-            out[chr(code)] = ascii_
-    return json.dumps(out)
+        if len(ascii_) == 1:
+            one.append(chr(code))
+            letters.append(ascii_)
+        elif ascii_:
+            several[chr(code)] = ascii_
+    return "".join(one), "".join(letters), json.dumps(several)
 
 
 def to_ascii(x: Column) -> Column:
     """Accents off, compatibility forms spelled out, whatever is left beyond ASCII dropped."""
-    folds = F.from_json(F.lit(_folds()), "map<string,string>")
-    each = F.transform(F.split(x, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(folds, c), F.lit(""))))
-    return F.when(F.char_length(x) == F.octet_length(x), x).otherwise(F.array_join(each, ""))
+    one, letters, several = _folds()
+    plain = lambda t: F.char_length(t) == F.octet_length(t)
+    spelled = F.from_json(F.lit(several), "map<string,string>")
+    each = lambda t: F.transform(F.split(t, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(spelled, c), F.lit(""))))
+    rest = let(F.translate(x, one, letters), lambda t: F.when(plain(t), t).otherwise(F.array_join(each(t), "")))
+    return F.when(plain(x), x).otherwise(rest)
 
 
 def folded(x: Column) -> Column:

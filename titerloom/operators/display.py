@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from titerloom.functions import keys as K
 from titerloom.functions import numbers as N
+from titerloom.functions.binding import let
 
 def text_filter(rows: DataFrame, typed: str, *columns: str) -> DataFrame:
     """Rows in which the typed text occurs, in whatever case, in the columns taken together."""
@@ -67,12 +68,34 @@ def page_text(pages: Column) -> Column:
     return K.blank_to_null(F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n"))
 
 
+#: A string with its escapes, a brace, or what stands between them.
+_JSON_PIECES = r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}]|[^"{}]++'
+
+
+def without_fences(text: Column) -> Column:
+    """A reply less a first line of ``` and what follows the last ```."""
+    x = K.strip(text)
+    newline = F.instr(x, "\n")
+    body = F.when(x.startswith("```") & (newline > 0), F.substring(x, newline + 1, F.length(x))).otherwise(x)
+    closed = F.when(body.endswith("```"), F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
+    return K.strip(closed)
+
+
+def first_object(text: Column) -> Column:
+    """From the first { to the } that closes it; braces in strings don't count. Null if none closes."""
+    rest = F.substring(text, F.instr(text, "{"), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+    depth = lambda s, t: s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+    step = lambda s, t: F.when(s["end"] > 0, s).otherwise(F.struct(depth(s, t).alias("depth"), (s["read"] + F.length(t)).alias("read"), F.when((t == "}") & (depth(s, t) == 0), s["read"] + 1).otherwise(F.lit(0)).alias("end")))
+    walked = let(rest, lambda r: F.struct(r.alias("r"), F.aggregate(F.regexp_extract_all(r, F.lit(_JSON_PIECES), F.lit(0)), start, step)["end"].alias("end")))
+    return F.when(F.instr(text, "{") > 0, let(walked, lambda w: F.when(w["end"] > 0, F.substring(w["r"], F.lit(1), w["end"]))))
+
+
 def json_object(text: Column) -> Column:
-    """The outermost {...} of a reply, fences and talk around it left out; null without one. Whether
-    it parses is for from_json to say, which gives null where it doesn't."""
-    start = F.instr(text, "{")
-    stop = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return F.when((start > 0) & (F.instr(text, "}") > 0) & (stop > start), F.substring(text, start, stop - start + 1))
+    """The first object of a reply, less fences and talk around it; a reply that is a list stays one. Null
+    without either. Whether it parses is for from_json to say, which gives null where it doesn't."""
+    is_list = lambda x: x.startswith("[") & x.endswith("]") & F.try_parse_json(x).isNotNull()
+    return let(without_fences(text), lambda x: F.when(is_list(x), x).otherwise(first_object(x)))
 
 
 def segments(points: DataFrame) -> DataFrame:

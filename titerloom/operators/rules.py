@@ -121,16 +121,53 @@ def anomaly_candidates(rows: DataFrame, envelopes: DataFrame) -> DataFrame:
     return j.withColumn("factor", F.when(tight & (F.size(bounds) == 1), F.element_at(bounds, 1))).select(*rows.columns, "outlier", "candidates", "factor")
 
 
+def ascii_json(text: Column) -> Column:
+    """A text as JSON writes it in ASCII; null as null."""
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    units = lambda c: F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", r"\\u$1"))
+    each = F.array_join(F.transform(F.split(quoted, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(units(c))), "")
+    return F.when(text.isNull(), F.lit("null")).when(F.char_length(quoted) == F.octet_length(quoted), quoted).otherwise(each)
+
+
+#: Columns of an envelope and what a review's signature calls them.
+SIGNED = {
+    "value_min": "historical_value_min", "value_max": "historical_value_max", "low_min": "historical_reference_low_min",
+    "low_max": "historical_reference_low_max", "high_min": "historical_reference_high_min", "high_max": "historical_reference_high_max",
+}
+
+
+def review_signature(rows: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """rows (of anomaly_candidates(), with unit if known) with signature: what a review of a value depends
+    on, its number and bounds, the history without its own file, and the candidate factors."""
+    e = envelopes.select("marker", "file_id", *[F.col(c).alias(f"e_{c}") for c in envelopes.columns if c not in ("marker", "file_id")])
+    j = rows.join(e, ["marker", "file_id"], "left")
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    number = lambda x: F.coalesce(F.concat(F.lit('"'), N.general_number(finite(x), 12), F.lit('"')), F.lit("null"))
+    count = lambda x: F.coalesce(x, F.lit(0)).cast("string")
+    unit = F.col("unit") if "unit" in rows.columns else F.lit(None).cast("string")
+    parts = {
+        "candidate_factors": F.concat(F.lit("["), F.array_join(F.transform("candidates", number), ", "), F.lit("]")),
+        "canonical_unit": ascii_json(unit),
+        "canonical_value": number(F.col("value")),
+        "reference_low": number(F.col("low")),
+        "reference_high": number(F.col("high")),
+        "history_sample_count": count(F.col("e_value_count")),
+        "history_range_count": count(F.least(F.coalesce("e_low_count", F.lit(0)), F.coalesce("e_high_count", F.lit(0)))),
+    } | {name: number(F.col(f"e_{c}")) for c, name in SIGNED.items()}
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), parts[k]) for k in sorted(parts)]), F.lit("}"))
+    return j.select(*rows.columns, F.sha1(text.cast("binary")).alias("signature"))
+
+
 def apply_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:
-    """rows with outlier, candidates, factor; reviews: id, signature, state, factor. A resolved
-    review with the row's signature decides (no factor: keep); a failed one is an error."""
-    sig = F.sha1(F.to_json(F.struct(N.general_number(F.col("value"), 12).alias("v"), F.transform("candidates", lambda f: N.general_number(f, 12)).alias("c"))))
+    """rows with outlier, candidates, factor and signature (review_signature()); reviews: id, signature,
+    state, factor. A resolved review with the row's signature decides (no factor: keep); a failed one is
+    an error."""
     r = reviews.select(F.col("id").alias("__i"), F.col("signature").alias("__s"), "state", F.col("factor").alias("__f"))
-    j = rows.withColumn("signature", sig).join(r, (F.col("id") == F.col("__i")) & (F.col("signature") == F.col("__s")), "left")
+    j = rows.join(r, (F.col("id") == F.col("__i")) & (F.col("signature") == F.col("__s")), "left")
     open_ = F.col("outlier") & (F.size("candidates") > 0) & F.col("factor").isNull()
     status = F.when(~open_ | (F.col("state") == "resolved"), F.lit("resolved")).when(F.col("state").isin("failed", "cancelled"), F.lit("error")).otherwise(F.lit("pending"))
     used = F.coalesce("factor", F.when(open_ & (F.col("state") == "resolved"), F.col("__f")), F.lit(1.0))
-    return j.withColumns({"status": status, "value": F.col("value") * used, "low": F.col("low") * used, "high": F.col("high") * used}).select(*rows.columns, "signature", "status")
+    return j.withColumns({"status": status, "value": F.col("value") * used, "low": F.col("low") * used, "high": F.col("high") * used}).select(*rows.columns, "status")
 
 
 def recanonicalise(rows: DataFrame, new_units: DataFrame, rules: DataFrame) -> DataFrame:

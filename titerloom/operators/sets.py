@@ -65,11 +65,18 @@ def after_failure(jobs: DataFrame, now: Column, most: int = 3, wait_s: int = 15)
     return jobs.withColumns({"status": F.when(again, F.lit("pending")).otherwise(F.lit("failed")), "available_at": F.when(again, now + F.make_dt_interval(secs=F.lit(wait_s))).otherwise(F.col("available_at"))})
 
 
-def failure_kind(text: Column) -> Column:
-    """split (too large), timeout, rate_limited or other, by what an error says."""
+def failure_kind(text: Column, kind: Column | None = None) -> Column:
+    """Why a request for pages failed, by what the error says; kind: the error's class, which names all others."""
     says = lambda words: F.contains(F.lower(text), F.lit(words))
-    split, timeout, limited = says("413") | says("failed to parse request"), says("timeout") & says("session.idle"), says("429") | says("rate limit") | says("too many requests")
-    return F.when(split, F.lit("split")).when(timeout, F.lit("timeout")).when(limited, F.lit("rate_limited")).otherwise(F.lit("other"))
+    timeout, limited, large = says("timeout") & says("session.idle"), says("429") | says("rate limit") | says("too many requests"), says("413") | says("failed to parse request")
+    other = F.lit("Exception") if kind is None else kind
+    timeout = timeout if kind is None else timeout | (kind == "TimeoutError")
+    return F.when(timeout, F.lit("timeout")).when(limited, F.lit("rate-limit")).when(large, F.lit("request-too-large")).otherwise(other)
+
+
+def splits(kind: Column) -> Column:
+    """Whether a failure of this kind is tried again with fewer pages."""
+    return kind.isin("timeout", "rate-limit", "request-too-large")
 
 
 def has_all_tags(tags: DataFrame, owner: str, wanted: list[str]) -> DataFrame:

@@ -166,9 +166,25 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.chart_points(rows).select("id", "kind", "x", "y")
 
 
-@query()
+_DIGITS = "CASE WHEN {x} = floor({x}) THEN 0 ELSE greatest(0, length(regexp_extract(CAST({x} AS VARCHAR), '\\.(\\d+)', 1)) - coalesce(TRY_CAST(regexp_extract(CAST({x} AS VARCHAR), 'e(-?\\d+)$', 1) AS INT), 0)) END"
+
+
+@query(f"""WITH {R}, g AS (SELECT concat(marker, ':', file_id) AS marker, min(value) AS a, max(value) AS b, max(low) AS m1, max(high) AS m2 FROM r WHERE value IS NOT NULL GROUP BY 1),
+e AS (SELECT marker, m1, m2, CASE WHEN a = b THEN a - CASE WHEN a = 0 THEN 1 ELSE abs(a) * 0.2::DOUBLE END ELSE a END AS lo, CASE WHEN a = b THEN b + CASE WHEN a = 0 THEN 1 ELSE abs(a) * 0.2::DOUBLE END ELSE b END AS hi FROM g),
+c AS (SELECT DISTINCT marker, m1, m2, lo, hi, p * CASE WHEN raw / p <= 1 THEN 1 WHEN raw / p <= 2 THEN 2 WHEN raw / p <= 2.5 THEN 2.5::DOUBLE WHEN raw / p <= 5 THEN 5 ELSE 10 END AS step
+  FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(raw))) AS p FROM (SELECT *, (hi - lo) / (unnest([4, 5, 6, 7, 8]) - 1) AS raw FROM e))),
+d AS (SELECT *, pow(10.0::DOUBLE, {_DIGITS.format(x="step")} + 6) AS f FROM c),
+s AS (SELECT *, floor(floor(lo / step) * step * f + 0.5) / f AS first_tick, floor(ceil(hi / step) * step * f + 0.5) / f AS last_tick FROM d),
+t AS (SELECT *, list_transform(generate_series(0, greatest(2, CAST(floor((last_tick - first_tick) / step + 0.5) AS BIGINT) + 1) - 1), lambda k: floor((first_tick + step * k) * f + 0.5) / f) AS ticks FROM s),
+u AS (SELECT *, ticks[2] - ticks[1] AS gap, len(ticks) AS n FROM t),
+w AS (SELECT *, {_DIGITS.format(x="gap")} AS digits FROM u),
+x AS (SELECT *, greatest(gap * 0.05::DOUBLE, pow(10.0::DOUBLE, -(digits + 2))) AS near FROM w),
+y AS (SELECT *, 3 * len(list_filter([m1, m2], lambda m: m IS NOT NULL AND len(list_filter(ticks, lambda k: abs(k - m) <= near)) = 0)) + greatest(n - 8, 0) * 4 + greatest(4 - n, 0) * 4 + abs(n - 6) + greatest(0, ticks[-1] - ticks[1] - (hi - lo)) / (hi - lo) + digits * 0.25::DOUBLE AS score FROM x)
+SELECT marker, ticks[1] AS first, ticks[-1] AS last, gap AS step, CAST(n AS BIGINT) AS n FROM y QUALIFY row_number() OVER (PARTITION BY marker ORDER BY score, step) = 1""")
 def nice_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spread = results(spark, sf_dir).groupBy(F.concat_ws(":", "marker", F.col("file_id").cast("string")).alias("marker")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """The axis of each marker of each file, that should show its bounds."""
+    rows = results(spark, sf_dir).where("value is not null")
+    spread = rows.groupBy(F.concat_ws(":", "marker", F.col("file_id").cast("string")).alias("marker")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.array(F.max("low"), F.max("high")).alias("marked"))
     return reports.axes(spread)
 
 
@@ -177,9 +193,22 @@ def marker_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.signature(history.overview(results(spark, sf_dir))).select("marker", "signature")
 
 
-@query()
+_SAID = {k: "'" + v.replace("'", "''") + "'" for k, v in reports.EXPLAINED.items()}
+#: Results with one marker for each type and file, so that there are many histories.
+BY_FILE = A.plain(A.RESULTS).replace("event_type AS marker", "concat(event_type, ' ', user_id) AS marker")
+OF_FILES = OVERVIEW.replace(R, f"r AS ({BY_FILE})")
+
+
+@query(f"""WITH {OF_FILES}, x AS (SELECT l.marker, CASE WHEN NOT l.missing THEN l.value END AS v, l.text AS t, l.flag, CASE WHEN NOT p.missing THEN p.value END AS pv, p.text AS pt, lo, hi, o.status FROM o JOIN latest l USING (marker) LEFT JOIN prev p USING (marker) JOIN rng USING (marker))
+SELECT marker, array_to_string(list_filter(CASE WHEN v IS NULL AND t IS NOT NULL THEN ['## ' || marker, 'Latest result: **' || t || '**.', CASE WHEN flag THEN {_SAID['positive']} WHEN NOT flag THEN {_SAID['negative']} ELSE {_SAID['qualitative']} END,
+  CASE WHEN pt = t THEN 'Compared with the previous result, it is **unchanged** at **' || t || '**.' WHEN pt IS NOT NULL THEN 'Compared with the previous result, it changed from **' || pt || '** to **' || t || '**.' END]
+ELSE ['## ' || marker, 'Latest value: **' || coalesce(t, format('{{:g}}', v), 'unavailable') || '**. Status: **' || replace(status, '_', ' ') || '**.', CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN 'Reference range from the report: **' || format('{{:g}}', lo) || ' to ' || format('{{:g}}', hi) || '**.' END,
+  CASE status WHEN 'low' THEN {_SAID['low']} WHEN 'high' THEN {_SAID['high']} WHEN 'in_range' THEN {_SAID['in_range']} END,
+  CASE WHEN v IS NOT NULL AND pv IS NOT NULL THEN 'Compared with the previous result, the marker is **' || CASE WHEN v - pv > 0 THEN 'up' WHEN v - pv < 0 THEN 'down' ELSE 'unchanged' END || '** by **' || format('{{:g}}', abs(v - pv)) || '**.' END] END, lambda y: y IS NOT NULL), chr(10) || chr(10)) AS insight FROM x""")
 def insight_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.insight_line(history.overview(results(spark, sf_dir))).select("marker", "insight")
+    """The explanation of every marker of every file."""
+    rows = spark.sql(A.RESULTS.replace("event_type AS marker", "concat(event_type, ' ', user_id) AS marker"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return reports.insight_line(history.overview(rows)).select("marker", "insight")
 
 
 @query("""SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 2 END ELSE l_quantity END AS effective_value,

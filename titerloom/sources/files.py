@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ SUFFIXES = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "
 ALIASES = {"text/x-markdown": "text/markdown"}
 SIDECAR = ".originalName"
 TEXT_KINDS = ("text/plain", "text/markdown")
+#: Further suffixes of these kinds, by the standard library's table, and suffixes of packed files, which hide the kind's.
+GUESSED = {s.lstrip("."): t for s, t in mimetypes.MimeTypes().types_map[True].items() if t in {*SUFFIXES.values(), *ALIASES}}
+PACKED = r"\.(?:gz|Z|bz2|xz|br)$"
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -34,6 +39,12 @@ def upload_kind(name: Column, declared: Column) -> Column:
     return F.when(suffix(name) != "", known).otherwise(F.when(alias.isin(sorted(set(SUFFIXES.values()))), alias))
 
 
+def preload_kind(name: Column) -> Column:
+    """By suffix, else as the standard library guesses; null for any other kind."""
+    guess = F.try_element_at(_map(GUESSED), suffix(F.regexp_replace(name, PACKED, "")))
+    return F.coalesce(F.try_element_at(_map(SUFFIXES), suffix(name)), F.try_element_at(_map(ALIASES), guess), guess)
+
+
 def is_text(kind: Column) -> Column:
     return kind.isin(*TEXT_KINDS)
 
