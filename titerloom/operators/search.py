@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titerloom.functions import keys as K
+from titerloom.operators import fulltext
 
 #: Weights of the indexed columns, and of the offline search's fields.
 COLUMN_WEIGHTS = {"filename": 1.0, "tags": 2.2, "summary": 3.4, "raw": 1.2, "translated": 1.8, "measurements": 2.5}
@@ -19,11 +20,6 @@ FIELD_WEIGHTS = {"filename": 6, "measurements": 5, "tags": 4, "translated": 3, "
 K1, B = 1.2, 0.75
 
 
-def index_tokens(x: Column) -> Column:
-    """Letters and digits, lowered, accents off."""
-    return F.regexp_extract_all(F.lower(K.to_ascii(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def build_documents(files: DataFrame, tags: DataFrame, measurements: DataFrame) -> DataFrame:
     """The index's rows: complete files only. files: file_id, filename, status, summary, raw, translated.
     tags: file_id, tag. measurements: file_id, id, status, name (null: untyped), value_text."""
@@ -41,11 +37,11 @@ def stale(complete: Column, indexed_at: Column, *changed: Column) -> Column:
 def bm25(documents: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
     """doc_id, score of the documents in which every query token begins a word of some column;
     the smaller the better. A token's frequency is the weighted number of its hits."""
-    tokens = list(dict.fromkeys(K.query_tokens(query)))
+    tokens = fulltext.asked(query)
     if not tokens:
         return documents.select("doc_id").where(F.lit(False)).withColumn("score", F.lit(0.0))
     cols = list(weights)
-    split = documents.select("doc_id", *[K.text_tokens(F.col(c)).alias(c) for c in cols])
+    split = documents.select("doc_id", *[fulltext.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols])
 
     def hits(c: str, token: str) -> Column:
         starts = (lambda x: F.startswith(x, F.lit(token))) if len(token) >= 2 else (lambda x: x == token)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerloom.functions import keys as K
-from titerloom.operators import coverage, search
+from titerloom.operators import coverage, fulltext, search
 from titerloom.plans.registry import query
+from titerloom.sources.shared import shared_dir
 
 WEIGHTS = {"text": 3, "lang": 2, "source": 4}
 ASKED = "the en"
@@ -20,7 +23,7 @@ def offline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.offline(spark.read.parquet(f"{sf_dir}/documents.parquet"), ASKED, WEIGHTS).select("doc_id", "score")
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w, regexp_extract_all(lower(source), '[\\p{L}\\p{N}_]+') AS s FROM documents),
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w, regexp_extract_all(strip_accents(lower(source)), '[\\p{L}\\p{N}]+') AS s FROM documents),
 c AS (SELECT doc_id, len(w) + len(s) AS dl, len(list_filter(w, lambda x: starts_with(x, 'license'))) * 1.2 + len(list_filter(s, lambda x: starts_with(x, 'license'))) * 2.2 AS f0,
   len(list_filter(w, lambda x: starts_with(x, 'th'))) * 1.2 + len(list_filter(s, lambda x: starts_with(x, 'th'))) * 2.2 AS f1 FROM d),
 t AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM c)
@@ -31,6 +34,25 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(100)
 
 
+#: Words that only folded letters meet.
+FOLDED = "ea an"
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS w, regexp_extract_all(strip_accents(lower(coalesce(source, ''))), '[\\p{L}\\p{N}]+') AS s FROM documents),
+c AS (SELECT doc_id, len(w) + len(s) AS dl, len(list_filter(w, lambda x: starts_with(x, 'ea'))) * 1.2 + len(list_filter(s, lambda x: starts_with(x, 'ea'))) * 2.2 AS f0,
+  len(list_filter(w, lambda x: starts_with(x, 'an'))) * 1.2 + len(list_filter(s, lambda x: starts_with(x, 'an'))) * 2.2 AS f1 FROM d),
+t AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM c)
+SELECT doc_id, round(-(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / av)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score
+FROM c, t WHERE f0 > 0 AND f1 > 0""")
+def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits, by an index that is built from one half of the documents and then brought up to date with the other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    index = fulltext.Index(spark, f"{shared_dir(spark)}/titerloom/index-{uuid.uuid4().hex}", ["text", "source"])
+    index.build(docs.where("doc_id % 2 = 0"))
+    index.refresh(docs.where("doc_id % 2 = 1"))
+    return index.search(FOLDED, {"text": 1.2, "source": 2.2}).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("""SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS raw, concat(lang, ' ', source) AS tags FROM documents""")
 def search_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
