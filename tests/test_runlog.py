@@ -255,7 +255,7 @@ class Walk:
         return self.done
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_spans_equal_a_walk(spark, seed):
     r = random.Random(seed)
     rows, ts = [], {"a": 0, "b": 0}

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-from titerloom.plans import log_queries, marker_queries, rule_queries, runlog_queries, text_queries, view_queries, work_queries  # noqa: E402, F401
+from titerloom.plans import log_queries, marker_queries, registry_queries, rule_queries, runlog_queries, text_queries, view_queries, work_queries  # noqa: E402, F401
