@@ -189,7 +189,7 @@ def snippet(x: Column, tokens: list[str], before: int = 60, after: int = 140) ->
     at = F.array_min(hits) - 1
     start, stop = F.greatest(at - before, F.lit(0)), F.least(at + after, F.length(x))
     body = strip(F.substring(x, start + 1, stop - start))
-    return F.when(F.size(hits) > 0, F.concat(F.when(start > 0, F.lit("…")).otherwise(""), body, F.when(stop < F.length(x), F.lit("…")).otherwise("")))
+    return F.when(F.size(hits) > 0, F.concat(F.when(start > 0, F.lit("… ")).otherwise(""), body, F.when(stop < F.length(x), F.lit(" …")).otherwise("")))
 
 
 def distinct_aliases(aliases: Column, name: Column) -> Column:

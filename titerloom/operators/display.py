@@ -137,3 +137,65 @@ def new_groups(names: DataFrame, groups: DataFrame) -> DataFrame:
     top = groups.agg(F.coalesce(F.max("display_order"), F.lit(0)).alias("m")).first()["m"]
     numbered = fresh.withColumn("display_order", (F.row_number().over(Window.orderBy("name")) * 10 + top).cast("int"))
     return groups.unionByName(numbered)
+
+
+def progress_summary(measured: Column, texts: Column, ready: Column) -> Column:
+    """Three counts, each a struct(done, total), in one line."""
+    part = lambda head, x, unit="": F.concat(F.lit(head), x["done"].cast("string"), F.lit("/"), x["total"].cast("string"), F.lit(unit))
+    return F.concat_ws(" · ", part("Measurements ", measured, "p"), part("Text ", texts, "p"), part("Ready markers ", ready))
+
+
+def shown_unit(unit: Column) -> Column:
+    """A unit; null for none and for the unit of plain numbers."""
+    return F.when((unit != "") & (unit != "1"), unit)
+
+
+def conversion_warning(missing: Column, unit: Column) -> Column:
+    return F.when(F.coalesce(missing, F.lit(False)), F.concat_ws(" for ", F.lit("No conversion rule"), shown_unit(unit)))
+
+
+def marker_names(names: Column) -> Column:
+    """Trimmed, blanks left out, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(names, lambda n: K.strip(n)), lambda n: n != ""))
+
+
+def export_name(names: Column) -> Column:
+    """What a file of these markers' histories is called: up to three names, and how many if there are more."""
+    head = F.array_join(F.transform(F.slice(names, 1, 3), K.slug), "-")
+    return F.concat(head, F.when(F.size(names) > 3, F.concat(F.lit("-"), F.size(names).cast("string"), F.lit("-markers"))).otherwise(F.lit("")), F.lit("-history"))
+
+
+def export_path(names: Column) -> Column:
+    wanted = marker_names(names)
+    return F.when(F.size(wanted) == 0, F.lit("/exports")).otherwise(F.concat(F.lit("/exports?"), F.array_join(F.transform(wanted, lambda n: F.concat(F.lit("marker="), F.url_encode(n))), "&")))
+
+
+def prompt_line(name: Column, value: Column, text: Column, unit: Column, low: Column, high: Column) -> Column:
+    """A result as a reader is asked to explain it; a word comes before a number."""
+    span = F.concat(F.lit(" (ref "), low, F.lit("–"), high, F.lit(")"))
+    return F.concat(F.lit("- **"), name, F.lit("**: "), F.coalesce(text, value, F.lit("None")), F.coalesce(F.concat(F.lit(" "), F.nullif(unit, F.lit(""))), F.lit("")), F.coalesce(span, F.lit("")))
+
+
+def medical_payload(files: DataFrame, measurements: DataFrame) -> DataFrame:
+    """file_id, payload: what was read of a file, as one JSON text: its date, source and resolved results, by
+    id; a result's value is its number, else its word. files: file_id, lab_date, source_name; dates are texts."""
+    rows = measurements.where("normalization_status = 'resolved'")
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("qualitative_value").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    value = F.coalesce(F.col("original_value").cast("string"), F.nullif(quoted, F.lit("")), F.lit("null"))
+    rest = F.to_json(F.struct(F.col("original_unit").alias("unit"), F.col("original_reference_low").alias("reference_low"), F.col("original_reference_high").alias("reference_high"), "measured_at", "page_number"), {"ignoreNullFields": "false"})
+    name = F.regexp_replace(F.to_json(F.struct("marker_name"), {"ignoreNullFields": "false"}), r"\}$", "")
+    item = F.concat(name, F.lit(',"value":'), value, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    g = rows.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", item.alias("j")))), lambda x: x["j"]), ",").alias("items"))
+    head = F.regexp_replace(F.to_json(F.struct("lab_date", F.col("source_name").alias("source")), {"ignoreNullFields": "false"}), r"\}$", "")
+    return files.join(g, "file_id", "left").select("file_id", F.concat(head, F.lit(',"measurements":['), F.coalesce("items", F.lit("")), F.lit("]}")).alias("payload"))
+
+
+def job_statuses(keys: DataFrame, jobs: DataFrame, task_type: str) -> DataFrame:
+    """Each wanted task_key that has a job of the type, once, with the job's status; blank keys are none."""
+    wanted = keys.where("task_key <> ''").select("task_key").distinct()
+    return wanted.join(jobs.where(F.col("task_type") == task_type).select("task_key", "status"), "task_key")
+
+
+def marker_count(overview: DataFrame) -> DataFrame:
+    """One number: the markers of all groups (a list a group)."""
+    return overview.agg(F.coalesce(F.sum(F.size("markers")), F.lit(0)).alias("markers"))

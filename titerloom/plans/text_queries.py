@@ -64,7 +64,7 @@ def search_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT doc_id, text, strpos(lower(text), 'licensed') AS p FROM documents WHERE contains(lower(text), 'licensed')),
 b AS (SELECT doc_id, text, greatest(p - 61, 0) AS a, least(p - 1 + 140, length(text)) AS z FROM h)
-SELECT doc_id, concat(CASE WHEN a > 0 THEN '…' ELSE '' END, regexp_replace(substr(text, a + 1, z - a), '^\\s+|\\s+$', '', 'g'), CASE WHEN z < length(text) THEN '…' ELSE '' END) AS snippet FROM b""")
+SELECT doc_id, concat(CASE WHEN a > 0 THEN '… ' ELSE '' END, regexp_replace(substr(text, a + 1, z - a), '^\\s+|\\s+$', '', 'g'), CASE WHEN z < length(text) THEN ' …' ELSE '' END) AS snippet FROM b""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", K.snippet(F.col("text"), ["licensed"]).alias("snippet")).where("snippet is not null")
