@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it isn't set, a local session gets a folder of our own, and a cluster
     an error, as its executors wouldn't see such a folder."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.conf.get("spark.master", "").startswith("local["):
+    if not given and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (given or _own_dir()).rstrip("/")
 
