@@ -8,6 +8,9 @@ the same text and get the same result, which a join on that key keeps whole.
 from __future__ import annotations
 
 import ctypes
+import gc
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,17 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local session gets one of
     our own; a cluster's executors wouldn't see that, so there ValueError is raised."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.conf.get("spark.master", "").startswith("local["):
+    if not given and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (given or _own_dir()).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+#: Written tables after which finished shuffles are given up.
+RELEASE_EVERY = 4
+_tables = itertools.count(1)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles nothing reads any more: their files go now, which else
+    stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table read back, and the folder it lies in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/titerloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if next(_tables) % RELEASE_EVERY == 0:
+        release_shuffles(spark)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    return write_table(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of write_table() that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def give_back() -> None:

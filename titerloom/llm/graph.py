@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import materialize
+from titerloom.llm.common import discard, write_table
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -27,17 +27,21 @@ def _round(edges: DataFrame) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node below another has one edge, to a node that is below none."""
+    down = edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.lit(True).alias("below"))
+    up = edges.select(F.col("v").alias("node"), F.lit(None).cast(edges.schema["v"].dataType).alias("to"), F.lit(False).alias("below"))
+    nodes = down.unionByName(up).groupBy("node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.bool_or("below").alias("x"), F.bool_and("below").alias("y"))
+    return nodes.where("a <> b or x <> y").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v of one orderable type. Returns node, root (the least node of the
     component) for every node that is not its own root."""
-    edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    # A round leaves the edges as they are once each is (node, root).
-    mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"))
-    last = edges.agg(*mark).first()
-    while last["n"]:
-        edges = materialize(_round(edges), "edges")
-        now = edges.agg(*mark).first()
-        if now == last:
-            break
-        last = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    spark = edges.sparkSession
+    now, path = write_table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(now):
+        last = path
+        now, path = write_table(_round(now), "edges")
+        discard(spark, last)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

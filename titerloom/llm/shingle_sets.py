@@ -135,6 +135,7 @@ def set_links(docs: DataFrame, classes: DataFrame, first: DataFrame) -> DataFram
             lead, on = bounded_broadcast(materialize(chosen.select("key", "l.*"), "leaders"), MAX_BROADCAST), F.lit(True)
         pairs = lead.alias("x").join(now.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & _can_be() & on).select(F.col("x.skey").alias("u"), F.col("y.skey").alias("v")).distinct()
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        edges, before, tried = edges.union(confirmed(pairs, sets)), left, tried.union(pairs)
+        # What is linked stays linked to its root, so that each turn begins where the last ended.
+        edges, before, tried = root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(confirmed(pairs, sets)), left, tried.union(pairs)
         if last:
             return components(edges)
