@@ -56,6 +56,9 @@ PER_TASK, PER_BATCH = 32 << 20, 4 << 20
 AT_ONCE, MEMO, LONG = 1 << 16, 600_000, 256
 #: Marks that stand apart from the letter before them, if it is below LATIN.
 MARKS, LATIN = ".,;:!?", "\u0250"
+WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Byte-level models write a byte as the character of its number, or, if that isn't printable, as one from 256 on, by their order.
+BYTES = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: A chunk: white space and what follows it up to the next; the tokenizer never joins what stands
 #: on both sides of the place where white space begins. 1C to 1F are white space in Python alone.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -95,6 +98,7 @@ class Encoder:
         split = config["pre_tokenizer"] or {}
         # Chunks are independent for byte-level splitting without a normalizer; any other tokenizer gets whole texts.
         self.by_chunk = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not config["normalizer"] and not config["post_processor"] and not config["model"].get("dropout")
+        self.model = self.library.model
         # Strings of added tokens may hold white space or swallow what stands around them.
         self.added = [t["content"] for t in config["added_tokens"]]
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -112,15 +116,18 @@ class Encoder:
         """Bring chunks into the memo: from its older generation, or from the library. A mark after a
         letter of a chunk is a piece of its own, so that a word is looked up once, with and without."""
         marked = {c for c in chunks if c[-1] in MARKS and c[-2:-1].isalpha() and c[-2] < LATIN and c not in self.old}
-        missing = []
+        others = []
         for c in chunks - marked | {c[:-1] for c in marked} | {c[-1] for c in marked}:
             if c not in self.new:
                 ids = self.old.get(c)
-                if ids is None:
-                    missing.append(c)
-                else:
+                if ids is not None:
                     self.new[c] = ids
-        for c, found in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                elif WORD.fullmatch(c):
+                    # One piece, which needn't be looked for: the library's model takes it as it is.
+                    self.new[c] = self.pack([t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(BYTES))])
+                else:
+                    others.append(c)
+        for c, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.new[c] = self.pack(found.ids)
         for c in marked:
             self.new[c] = self.new[c[:-1]] + self.new[c[-1]]
@@ -142,9 +149,12 @@ class Encoder:
                 chunks, hi = [end[0]], end.end()
             if len(self.new) > MEMO:
                 self.new, self.old = {}, self.new
-            if unknown := {c for c in chunks if c not in self.new}:
+            ids = list(map(self.new.get, chunks))
+            unknown = {c for c, i in zip(chunks, ids, strict=True) if i is None} if None in ids else set()
+            if unknown:
                 self.learn(unknown)
-            yield b"".join(map(self.new.__getitem__, chunks))
+                ids = [self.new[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+            yield b"".join(ids)
             for c in unknown:
                 if len(c) > LONG:
                     del self.new[c]
