@@ -83,3 +83,36 @@ def test_sets_are_of_whole_texts():
     for n in (0, 1, 4, 5, 6, 500):
         text = " ".join(r.choice(WORDS) for _ in range(n))
         assert len(shingle_sets.shingles(text)) == len(brute(text))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    r = random.Random(7)
+    for n in (1, 20, 300, 4000):
+        both = {r.getrandbits(63) for _ in range(n)}
+        for more in (0, 1, 9, n // 5):
+            a, b = (np.array(sorted(both | {r.getrandbits(63) for _ in range(k)}), np.int64) for k in (0, more))
+            differ = sum((int(x) ^ int(y)).bit_count() for x, y in zip(shingle_sets.sketch(a).view(np.uint64), shingle_sets.sketch(b).view(np.uint64), strict=True))
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_large_group_of_near_copies_is_not_paired_off(spark, monkeypatch):
+    """Neither a table of pairs nor one of posted rows grows with the group's square."""
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(60)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for _ in range(r.choice((1, 1, 2, 3))):
+            copy[r.randrange(len(copy))] = r.choice(WORDS) + r.choice(WORDS)
+        texts.append(" ".join(copy))
+    written, plain = {}, shingle_sets.materialize
+
+    def seen(df, name):
+        out = plain(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(shingle_sets, "materialize", seen)
+    want = check(spark, texts)
+    assert len(want) < 300
+    assert written["pairs"] < 4 * len(texts) and "met" not in written and "open" not in written

@@ -7,10 +7,13 @@ Candidates: besides the links that a caller brings, classes that share a band, a
 minima of the set under random hashes. Two sets of a similarity s share one of BANDS bands
 with a probability of 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, 0.99999 at 0.85.
 
-Comparison: at first each class of a band meets one leader only, and confirmed pairs
-become components, while the pairs are many; that settles large groups of copies in linear
-work. Then all pairs that share a band and are not yet in one component are compared.
-Every compared pair is decided by the whole sets.
+Comparison: first each class meets one leader of a few of its bands, then leaders of all bands,
+members of a band's largest component, and confirmed pairs become components, while the pairs
+are many and a turn halves them; that settles large groups of copies in linear work. Then all pairs that share a band
+and are not yet in one component are compared: what is outside a band's largest component
+meets the band. Sketches rule pairs out before any set is moved: bit i is the parity of the
+number of members in bucket i, so that two sketches differ in no more bits than their sets in
+members. Every pair left is decided by the whole sets.
 
 Defined cases: fewer than WIDTH words make one shingle; null and empty text have the
 empty set, and are copies of each other.
@@ -19,6 +22,7 @@ empty set, and are copies of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,13 @@ BANDS, ROWS = 20, 5
 #: Bits in which fingerprints of similar sets may differ: similar sets of the least similarity
 #: differ in 9.7 of 64 bits, with a standard deviation of 2.9; strangers in 32.
 FAR = 24
-#: Rows of some 40 bytes that are broadcast.
+#: Longs of a sketch.
+SKETCH = 4
+#: What a class is compared by before its set is.
+OF = ("n", "fp", *(f"p{i}" for i in range(SKETCH)))
+#: Bands whose leaders are met first.
+FIRST_BANDS = 3
+#: Rows of some 80 bytes that are broadcast.
 MAX_BROADCAST = 100_000
 #: Bytes of the sets that are broadcast at once.
 SET_BYTES = 16 << 20
@@ -81,6 +91,12 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of the members' numbers by bucket, as SKETCH longs."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     yield from releasing(lambda batches: (pd.Series([shingles(t) for t in batch], dtype=object) for batch in batches))(texts)
@@ -91,9 +107,11 @@ def _enough(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def _can_be() -> Column:
-    """Whether the sets of x and y, by size and fingerprint, may be similar."""
+    """Whether the sets of x and y, by size, fingerprint and sketch, may be similar."""
     sizes = F.least("x.n", "y.n") * OUT_OF >= F.greatest("x.n", "y.n") * LEAST
-    return sizes & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR)
+    differing = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    parities = sum((differing(f"p{i}") for i in range(SKETCH)), F.lit(0))
+    return sizes & (differing("fp") <= FAR) & (parities * (OUT_OF + LEAST) <= (F.col("x.n") + F.col("y.n")) * (OUT_OF - LEAST))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -105,37 +123,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.where(_enough(F.size(F.array_intersect("s_u", "s_v")), F.size("s_u"), F.size("s_v"))).select("u", "v"), "confirmed")
 
 
-def set_links(docs: DataFrame, classes: DataFrame, first: DataFrame) -> DataFrame:
-    """classes: skey, thash (of one text), n, fp, bands; first: links u, v to begin with.
-    Returns node, root over the names of sets."""
-    postings = classes.select("skey", "n", "fp", F.explode("bands").alias("key"))
-    shared = materialize(postings.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
-    met = materialize(postings.join(bounded_broadcast(shared, MAX_BROADCAST), "key"), "met")
-    first = materialize(first, "first-links")
-    asked = met.select("skey").union(first.select("u")).union(first.select("v")).distinct()
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """skey, s of the classes in pairs u, v and others; held: what was read so far, which is added to."""
+    asked = pairs.select(F.col("u").alias("skey")).union(pairs.select("v")).distinct()
+    for sets in held:
+        asked = asked.join(sets, "skey", "left_anti")
     named = materialize(classes.join(asked, "skey", "left_semi").select("skey", "thash"), "asked")
-    texts = docs.select("text", text_hash().alias("thash")).join(bounded_broadcast(named, MAX_BROADCAST), "thash")
-    sets = materialize(texts.dropDuplicates(["skey"]).select("skey", _sets("text").alias("s")), "sets")
-    edges = confirmed(first, sets)
-    tried, most, before = first, met.count(), None
-    for turn in range(TURNS + 1):
+    if not held or not named.isEmpty():
+        texts = docs.select("text", text_hash().alias("thash")).join(bounded_broadcast(named, MAX_BROADCAST), "thash")
+        held.append(materialize(texts.dropDuplicates(["skey"]).select("skey", _sets("text").alias("s")), "sets"))
+    return reduce(DataFrame.union, held)
+
+
+def set_links(docs: DataFrame, classes: DataFrame, first: DataFrame) -> DataFrame:
+    """classes: skey, thash (of one text), bands and the columns OF; first: links u, v to begin
+    with. Returns node, root over the names of sets."""
+    held: list[DataFrame] = []
+    tried = materialize(first, "first-links")
+    edges = confirmed(tried, _sets_of(docs, classes, tried, held))
+    most, before = BANDS * classes.count(), None
+    for turn in range(TURNS + 2):
         root = components(edges)
-        now = met.join(root, met["skey"] == root["node"], "left").select("key", "skey", "n", "fp", F.coalesce("root", "skey").alias("root"))
-        sizes = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count(F.lit(1)).alias("roots"))
-        open_ = materialize(sizes.where("roots > 1"), "open-bands")
+        bands = F.slice("bands", 1, FIRST_BANDS) if turn == 0 else F.col("bands")
+        # One row a class meets its root; only what lies in a band of several roots is paired.
+        now = classes.join(root, classes["skey"] == root["node"], "left").select("skey", *OF, bands.alias("bands"), F.coalesce("root", "skey").alias("root"))
+        rows = now.select(F.explode("bands").alias("key"), "skey", *OF, "root")
+        kinds = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min_by("skey", F.xxhash64("skey", F.lit(turn))).alias("lead"))
+        sizes = kinds.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root", "lead")).alias("top"))
+        open_ = materialize(sizes.where("roots > 1").select("key", "all", "own", F.col("top.root").alias("top"), "top.lead"), "open-bands")
         left = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0]
-        if not left:
+        if turn and not left:
             return root
-        now = materialize(now.join(bounded_broadcast(open_.select("key"), MAX_BROADCAST), "key"), "open")
-        last = turn == TURNS or left <= most or left == before
+        last = turn > TURNS or turn and (left <= most or before is not None and 2 * left > before)
         if last:
-            lead, on = now, F.col("x.skey") < F.col("y.skey")
+            few = rows.join(bounded_broadcast(open_.select("key", "top"), MAX_BROADCAST), "key").where("root <> top")
+            once = (F.col("y.root") == F.col("x.top")) | (F.col("x.skey") < F.col("y.skey"))
         else:
-            chosen = now.groupBy("key").agg(F.min_by(F.struct("skey", "n", "fp", "root"), F.xxhash64("skey", F.lit(turn))).alias("l"))
-            lead, on = bounded_broadcast(materialize(chosen.select("key", "l.*"), "leaders"), MAX_BROADCAST), F.lit(True)
-        pairs = lead.alias("x").join(now.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & _can_be() & on).select(F.col("x.skey").alias("u"), F.col("y.skey").alias("v")).distinct()
+            few, once = open_.select("key", F.col("lead").alias("skey")).join(now.drop("bands"), "skey"), F.lit(True)
+        few = bounded_broadcast(materialize(few, "few"), MAX_BROADCAST)
+        pairs = few.alias("x").join(rows.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & _can_be() & once).select(F.col("x.skey").alias("u"), F.col("y.skey").alias("v")).distinct()
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         # What is linked stays linked to its root, so that each turn begins where the last ended.
-        edges, before, tried = root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(confirmed(pairs, sets)), left, tried.union(pairs)
+        edges = root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(confirmed(pairs, _sets_of(docs, classes, pairs, held)))
+        before, tried = left if turn else None, tried.union(pairs)
         if last:
             return components(edges)

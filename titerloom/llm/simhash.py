@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from titerloom.llm.common import materialize, releasing, text_hash
 from titerloom.llm.graph import components
-from titerloom.llm.shingle_sets import band_keys, set_links, set_name, shingles
+from titerloom.llm.shingle_sets import OF, band_keys, set_links, set_name, shingles, sketch
 
 RADIUS = 3
 SHINGLE = 3
@@ -209,11 +209,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        rows = [(set_name(s), len(s), np.uint64(bit_majority([s.view(np.uint64)])).view(np.int64), band_keys(s)) for s in map(shingles, batch)]
-        yield pd.DataFrame(rows, columns=["skey", "n", "fp", "bands"])
+        rows = [(set_name(s), len(s), np.uint64(bit_majority([s.view(np.uint64)])).view(np.int64), *sketch(s), band_keys(s)) for s in map(shingles, batch)]
+        yield pd.DataFrame(rows, columns=SIGNATURE.names)
 
 
-SIGNATURE = StructType().add("skey", LongType()).add("n", IntegerType()).add("fp", LongType()).add("bands", ArrayType(LongType()))
+SIGNATURE = StructType().add("skey", LongType())
+for column in OF:
+    SIGNATURE.add(column, IntegerType() if column == "n" else LongType())
+SIGNATURE.add("bands", ArrayType(LongType()))
 
 
 @F.pandas_udf(SIGNATURE)
@@ -228,7 +231,7 @@ def similar_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first; as similar sets lie up to FAR bits apart, bands find the others, and the whole
     sets decide on each (shingle_sets)."""
     rows = materialize(docs.select("doc_id", text_hash().alias("thash"), _signatures("text").alias("s")).select("doc_id", "thash", "s.*"), "signatures")
-    classes = materialize(rows.groupBy("skey").agg(F.min(F.struct("thash", "n", "fp", "bands")).alias("c")).select("skey", "c.*"), "set-classes")
+    classes = materialize(rows.groupBy("skey").agg(F.min(F.struct("thash", *OF, "bands")).alias("c")).select("skey", "c.*"), "set-classes")
     named = materialize(classes.groupBy("fp").agg(F.min("skey").alias("name")), "named-fingerprints")
     near = fingerprint_links(named.select("fp"), radius)
     u, v = (named.select(F.col("fp").alias(k), F.col("name").alias(f"name_{k}")) for k in "uv")
