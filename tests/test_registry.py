@@ -41,3 +41,25 @@ def test_rename(spark, tables):
     assert {r["type_id"]: (r["name"], r["key"]) for r in out.types.collect()}[3] == ("Iron total", "iron total")
     assert {(r["alias_key"], r["alias_name"], r["type_id"]) for r in out.aliases.collect()} >= {("iron", "Iron", 3), ("iron total", "Iron total", 3), ("fe", "Fe", 3)}
     assert rows(out.insights) == [(1, "one"), (2, "two")] and rows(again) == [(101,)] and R.broken_keys(out).count() == 0
+
+
+def test_guides_do_not_pair_all_rules(spark):
+    """A pair of units with n rules gives n * 3 rows, by no join of n * n; ties and a type with most rules are right."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from titerloom.operators import rules
+
+    r = random.Random(2)
+    rows = [(i, r.choice((1, 1, 1, 2, 3, 4, 5, 6, 7)), r.choice("ab"), "u", r.choice((None, 1.0, 2.0))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, type_id long, original_key string, canonical_key string, factor double")
+    got = {(x["type_id"], x["original_key"], x["rn"]): (x["rule_id"], x["guide_type"]) for x in rules.guide_rules(df, df).collect()}
+    want = {}
+    for t, k in {(x[1], x[2]) for x in rows}:
+        for n, x in enumerate([x for x in rows if x[2] == k and x[1] != t and x[4] is not None][:3]):
+            want[(t, k, n + 1)] = (x[0], x[1])
+    assert got == want
+    joined = rules.guide_rules(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Join") == 1 and joined.index("posexplode") < joined.index("Join")
+    assert rules.guide_rules(df, df.where(F.lit(False))).isEmpty()

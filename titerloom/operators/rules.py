@@ -194,10 +194,15 @@ def guide_rules(requests: DataFrame, rules: DataFrame, n: int = 3) -> DataFrame:
     """For each request (type_id, original_key, canonical_key) up to n rules of other types for the
     same pair of units, by rule id."""
     asked = requests.select("type_id", "original_key", "canonical_key").distinct()
-    g = rules.where(F.col("factor").isNotNull()).select(F.col("id").alias("rule_id"), F.col("type_id").alias("guide_type"), "original_key", "canonical_key", "factor")
-    j = asked.join(g, ["original_key", "canonical_key"]).where("type_id != guide_type")
-    w = Window.partitionBy("type_id", "original_key", "canonical_key").orderBy("rule_id")
-    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    g = rules.where(F.col("factor").isNotNull()).select(F.col("id").alias("rule_id"), F.col("type_id").alias("guide_type"), "original_key", "canonical_key", "factor").where("guide_type is not null")
+    # Of a pair's rules only the first n of a type, and of these the first 2 n, can be among the first n of other types.
+    pair = ["original_key", "canonical_key"]
+    for k, w in ((n, Window.partitionBy(*pair, "guide_type")), (2 * n, Window.partitionBy(*pair))):
+        g = g.withColumn("nth", F.row_number().over(w.orderBy("rule_id", "guide_type"))).where(F.col("nth") <= k).drop("nth")
+    few = g.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("rule_id", "guide_type", "factor"))).alias("guides"))
+    mine = F.slice(F.filter("guides", lambda x: x["guide_type"] != F.col("type_id")), 1, n)
+    found = asked.join(few, pair).select(*pair, "type_id", F.posexplode(mine).alias("rn", "g"))
+    return found.select(*pair, "type_id", "g.rule_id", "g.guide_type", "g.factor", (F.col("rn") + 1).alias("rn"))
 
 
 def marker_lookup(names: DataFrame, types: DataFrame, aliases: DataFrame) -> DataFrame:
