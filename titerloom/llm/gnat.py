@@ -37,6 +37,8 @@ from titerloom.llm.common import materialize
 
 #: Distinct vectors that the tree is built from; split points of a node; points of a leaf, a chunk, and queries of a chunk.
 SAMPLE, WAYS, CHUNK = 4096, 16, 2048
+#: Queries that go through the tree at once, and rows (a query and a leaf) that they are given out by.
+ASKED, GIVEN = 256, 4096
 #: Relative tolerance of squared distances, and of distances, whose roots near zero round worse: far above the rounding of doubles.
 SLACK, ROUNDING = 1e-9, 1e-5
 KEY = ("k1", "k2")
@@ -183,8 +185,13 @@ class Search:
         the query's own leaf alone."""
         d, tree = self.tree.d, self.tree
 
-        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                yield from (batch.slice(at, ASKED) for at in range(0, len(batch), ASKED))
+
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A query may go to all leaves, so that a few queries make many rows.
+            for batch in slices(batches):
                 q = matrix(batch.column("vec"), d)
                 low, high = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)).reshape(len(q), -1) if len(q) else np.empty((0, 1)) for c in ("low", "high"))
                 if own_leaf:
@@ -194,8 +201,10 @@ class Search:
                 chunks = np.array(tree.chunks)[leaf]
                 again = np.repeat(np.arange(len(rows)), chunks)
                 chunk = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-                out = pa.Table.from_batches([batch]).take(pa.array(rows[again])).append_column("leaf", pa.array(leaf[again].astype(np.int32))).append_column("chunk", pa.array(chunk.astype(np.int32)))
-                yield from out.combine_chunks().to_batches()
+                for at in range(0, len(again), GIVEN):
+                    some = again[at : at + GIVEN]
+                    arrays = [*batch.take(pa.array(rows[some])).columns, pa.array(leaf[some].astype(np.int32)), pa.array(chunk[at : at + GIVEN].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "leaf", "chunk"])
 
         shape = "k1 long, k2 long, label int, vec array<long>, low array<long>, high array<long>"
         total = queries.count()
