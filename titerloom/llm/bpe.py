@@ -38,22 +38,22 @@ from pyspark.sql import functions as F
 from titerloom.llm.common import releasing
 
 END = "</w>"
-#: Entries of each memo; a full one is emptied, that of pieces at its second turn.
-MEMO = 100_000
+#: Entries of each memo; a full one is emptied, that of chunks and pieces at its second turn.
+MEMO = 200_000
 #: The same of the memo of beginnings, whose entries are the largest.
-MEMO_BEGUN = 40_000
+MEMO_BEGUN = 80_000
 #: Symbols held before stable tokens are looked for.
 CHECK = 64
 #: Characters of a piece beyond which it is streamed and not remembered.
 LONG = 256
 #: Symbols after which a piece's state is remembered, for the pieces that begin alike.
-BEGINNINGS = (10, 7, 4)
+BEGINNINGS = (10, 8, 6, 5, 4)
 #: Characters of a text that are cut into pieces at once.
 SLICE = 1 << 16
 #: White space as Unicode has it; the control characters 1C to 1F don't count.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Pieces of a lowered text that are encoded each on its own; L, N: letters, numbers.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{SPACE}{L}{N}]+"
+PIECE = r"[{L}]+|[{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{L}{N}]+"
 #: Letters and numbers of Unicode 16, which the library knows and Python 3.13 doesn't.
 NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
 NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
@@ -104,6 +104,10 @@ class Transducer:
             self.parts.setdefault(pair[0] + pair[1], pair)
         self.lookahead = sufficient_lookahead(merges)
         self.fits: dict[tuple[str, str], bool] = {}
+        #: The same by left token, for short pieces, and its entries.
+        self.followers: dict[str | None, dict[str, bool]] = {}
+        self.n_followers = 0
+        self.spines: tuple[dict[str, list[tuple[str, float]]], ...] = ({}, {})
         self.begun: dict[str, tuple[list[str], list[int]]] = {}  # states after frequent beginnings
         self.held = 0  # most symbols held so far
         self.whole: dict[str, bool] = {}
@@ -119,38 +123,43 @@ class Transducer:
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """(piece, rank of the merge that uses it up) along one edge, the smallest first."""
-        out, used = [], float("inf")
-        while True:
-            out.append((token, used))
-            if token not in self.parts:
-                return out[::-1]
-            used = self.rank[self.parts[token]]
-            token = self.parts[token][side]
+        known = self.spines[side].get(token)
+        if known is None:
+            out, used, piece = [], float("inf"), token
+            while True:
+                out.append((piece, used))
+                if piece not in self.parts:
+                    break
+                used = self.rank[self.parts[piece]]
+                piece = self.parts[piece][side]
+            # Of tokens only, so there are no more of them than twice the vocabulary.
+            known = self.spines[side][token] = out[::-1]
+        return known
 
     def may_follow(self, left: str, right: str) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            a, b = self._spine(left, 1), self._spine(right, 0)
-            i = j = 0
-            while True:
-                (x, x_used), (y, y_used) = a[i], b[j]
-                rank = self.rank.get((x, y), float("inf"))
-                # Of equal merges the left one comes first.
-                if rank < x_used and rank <= y_used and rank != float("inf"):
-                    known = False
-                    break
-                if x_used == y_used == float("inf"):
-                    known = True
-                    break
-                if x_used <= y_used:
-                    i += 1
-                else:
-                    j += 1
             if len(self.fits) >= MEMO:
                 self.fits.clear()
-            self.fits[(left, right)] = known
+            known = self.fits[(left, right)] = self._fits(left, right)
         return known
 
+    def _fits(self, left: str, right: str) -> bool:
+        a, b = self._spine(left, 1), self._spine(right, 0)
+        i = j = 0
+        while True:
+            (x, x_used), (y, y_used) = a[i], b[j]
+            rank = self.rank.get((x, y), float("inf"))
+            # Of equal merges the left one comes first.
+            if rank < x_used and rank <= y_used and rank != float("inf"):
+                return False
+            if x_used == y_used == float("inf"):
+                return True
+            if x_used <= y_used:
+                i += 1
+            else:
+                j += 1
+
     def is_token(self, token: str) -> bool:
         """In the vocabulary, and what its own symbols merge to."""
         known = self.whole.get(token)
@@ -191,6 +200,9 @@ class Transducer:
 
     def encode(self, symbols: str) -> Iterator[str]:
         """Tokens of one piece, each soon after it is stable."""
+        if len(symbols) <= CHECK:
+            yield from self.encode_short(symbols)
+            return
         kinds, fits = self.kinds.get, self.fits
         prev, base, end = None, 0, len(symbols) - 1
         last: list[str] = []  # of each prefix that ends after base, its last token
@@ -243,6 +255,63 @@ class Transducer:
                     yield token
                     return
 
+    def encode_short(self, symbols: str) -> list[str]:
+        """encode() of at most CHECK symbols, of which none is given out before the last."""
+        kinds, fits, end = self.kinds.get, self.fits_after, len(symbols) - 1
+        last: list[str | None] = []
+        after: list[dict[str, bool]] = []  # of each prefix, what is known to follow its last token
+        live: list[int] = []
+        begin = 0
+        for k in BEGINNINGS:
+            if end >= k and (known := self.begun.get(symbols[:k])):
+                begin, last, live = k, known[0].copy(), known[1]
+                after = [fits(t) for t in last]
+                break
+        for i in range(begin, end):
+            kept, hit, to = [], None, i + 1
+            for j in (*live, i):  # the longest first
+                token = symbols[j:to]
+                if kind := kinds(token):
+                    if kind > 1:
+                        kept.append(j)
+                    if hit is None and kind & 1:
+                        if not j:
+                            hit = token
+                        elif (fit := after[j - 1].get(token)) or fit is None and self.follows(last[j - 1], token):
+                            hit = token
+            live = kept
+            last.append(hit)
+            after.append(fits(hit))
+            if to in BEGINNINGS:
+                if len(self.begun) >= MEMO_BEGUN:
+                    self.begun.clear()
+                self.begun[symbols[:to]] = (last.copy(), live)
+        # The last symbol bears the end mark.
+        for j in (*live, end):
+            token = symbols[j:] + END
+            if (kinds(token) or 0) & 1:
+                if not j:
+                    return [token]
+                if (fit := after[j - 1].get(token)) or fit is None and self.follows(last[j - 1], token):
+                    return [*self._chain(last, j), token]
+        return []
+
+    def fits_after(self, token: str | None) -> dict[str, bool]:
+        known = self.followers.get(token)
+        if known is None:
+            known = self.followers[token] = {}
+        return known
+
+    def follows(self, left: str, right: str) -> bool:
+        """may_follow(), entered by the left token."""
+        if self.n_followers >= 2 * MEMO:
+            for known in self.followers.values():  # those that a piece at hand holds, too
+                known.clear()
+            self.n_followers = 0
+        self.n_followers += 1
+        known = self.fits_after(left)[right] = self._fits(left, right)
+        return known
+
     def _chain(self, last: list[str], to: int) -> list[str]:
         """The tokens of the held prefix of `to` symbols."""
         out = []
@@ -323,23 +392,58 @@ class Encoder:
         classes = {"SPACE": SPACE, "L": character_class("L", NEW_LETTERS), "N": character_class("N", NEW_NUMBERS)}
         self.pieces = re.compile(re.sub(r"\{(\w+)\}", lambda m: classes[m[1]], PIECE))
         self.ascii_pieces = re.compile(ASCII_PIECE)
+        #: No piece reaches over white space; 1C to 1F are white space in Python alone.
+        self.chunk = re.compile(f"[^{SPACE}]+")
+        self.separators = re.compile("[\x1c-\x1f]")
         self.rare = re.compile(f"[^{PLAIN}]")
         #: For rare characters the library's own tables, which are newer than Python's.
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        #: Ids, joined by spaces, of the chunks and pieces met lately, and of those before them.
         self.known: dict[str, str] = {}
-        self.known_texts: dict[str, str] = {}
-        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.older: dict[str, str] = {}
         #: Decodes the ids of one piece, at whose end no byte is pending.
         self.decoder = Decoder(self.tokens, self.added, plain=True)
-
-    def learn(self, piece: str) -> None:
-        """Enter a piece's ids, joined by spaces, and the text decoded from them."""
-        ids = [self.vocab[t] for t in self.transducer.encode(self.symbols(piece))]
-        self.known[piece] = " ".join(map(str, ids))
-        self.known_texts[piece] = "".join(map(self.decoder.feed, ids)) + self.decoder.finish()
+        #: Of each token met its id as text; of each such text what the decoder makes of the id.
+        self.id_texts: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+
+    def learn(self, piece: str) -> str:
+        """Enter a piece's ids, joined by spaces."""
+        ids = self.older.get(piece)
+        if ids is None:
+            symbols = self.symbols(piece)
+            ids = self.joined(self.transducer.encode_short(symbols) if len(symbols) <= CHECK else list(self.transducer.encode(symbols)))
+        self.known[piece] = ids
+        return ids
+
+    def learn_chunk(self, chunk: str) -> None:
+        """The same of a chunk: what stands between white space, one piece or several."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            pieces = (self.ascii_pieces if chunk.isascii() else self.pieces).findall(chunk)
+            ids = " ".join([self.known.get(p) or self.learn(p) for p in pieces])
+        self.known[chunk] = ids
+
+    def joined(self, tokens: list[str]) -> str:
+        """Ids of tokens; what the decoder makes of each is kept."""
+        try:
+            return " ".join([self.id_texts[t] for t in tokens])
+        except KeyError:
+            for t in tokens:
+                n = self.vocab[t]
+                self.id_texts[t] = str(n)
+                # Alone, a plain token leaves no byte pending; a space parts it from the next.
+                self.decoded[str(n)] = self.decoder.feed(n) + self.decoder.finish()
+            return " ".join([self.id_texts[t] for t in tokens])
+
+    def text_of(self, ids: str) -> str:
+        """What ids entered by joined() decode to."""
+        return " ".join(map(self.decoded.__getitem__, ids.split(" ")))
 
     def symbols(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable() and " " not in piece:
+            return piece  # these stand for themselves
         return "".join(map(self.letters.__getitem__, piece.encode()))
 
     def lowered(self, part: str) -> str:
@@ -357,26 +461,37 @@ class Encoder:
                 yield str(self.added[part]), self.decoder.feed(self.added[part]) + self.decoder.finish()
                 continue
             low = self.lowered(part)
-            cut = self.ascii_pieces if low.isascii() else self.pieces
-            found = (m.group() for m in cut.finditer(low)) if len(low) > SLICE else iter(cut.findall(low))
-            while pieces := list(islice(found, SLICE)):
-                if len(self.known) >= MEMO:
-                    # What was met since the last turn stays for another one.
-                    self.older, self.known, self.known_texts = (self.known, self.known_texts), {}, {}
-                new = set(pieces).difference(self.known)
-                long = {p for p in new if len(p) > LONG}
-                for piece in new - long:
-                    if piece in self.older[0]:
-                        self.known[piece], self.known_texts[piece] = self.older[0][piece], self.older[1][piece]
-                    else:
-                        self.learn(piece)
-                for is_long, run in groupby(pieces, long.__contains__) if long else [(False, pieces)]:
+            if len(self.known) >= MEMO:
+                # What was met since the last turn stays for another one.
+                self.older, self.known = self.known, {}
+            if len(low) <= SLICE and not self.separators.search(low):
+                chunks = low.split()
+            else:
+                chunks = (m.group() for m in self.chunk.finditer(low))
+            chunks = iter(chunks)
+            while some := list(islice(chunks, SLICE)):
+                ids = list(map(self.known.get, some))
+                if None in ids:
+                    for c in {c for c, i in zip(some, ids, strict=True) if i is None and len(c) <= LONG}:
+                        self.learn_chunk(c)
+                    ids = [self.known.get(c) if i is None else i for c, i in zip(some, ids, strict=True)]
+                for is_long, run in groupby(zip(some, ids, strict=True), lambda x: x[1] is None) if None in ids else [(False, zip(some, ids, strict=True))]:
                     if is_long:
-                        for piece in run:
-                            yield from self.stream_piece(piece)
+                        for chunk, _ in run:
+                            yield from self.stream_chunk(chunk)
                     else:
-                        run = list(run)
-                        yield " ".join(map(self.known.__getitem__, run)), " ".join(map(self.known_texts.__getitem__, run))
+                        joined = " ".join([i for _, i in run])
+                        yield joined, self.text_of(joined)
+
+    def stream_chunk(self, chunk: str) -> Iterator[tuple[str, str]]:
+        """The same of a chunk too long to be remembered, a piece at a time."""
+        for m in (self.ascii_pieces if chunk.isascii() else self.pieces).finditer(chunk):
+            piece = m.group()
+            if len(piece) > LONG:
+                yield from self.stream_piece(piece)
+            else:
+                ids = self.known.get(piece) or self.learn(piece)
+                yield ids, self.text_of(ids)
 
     def stream_piece(self, piece: str) -> Iterator[tuple[str, str]]:
         """The same of a piece too long to be remembered, some tokens at a time."""
