@@ -117,14 +117,18 @@ class Encoder:
         letter of a chunk is a piece of its own, so that a word is looked up once, with and without."""
         marked = {c for c in chunks if c[-1] in MARKS and c[-2:-1].isalpha() and c[-2] < LATIN and c not in self.old}
         others = []
+        new, old = self.new, self.old
         for c in chunks - marked | {c[:-1] for c in marked} | {c[-1] for c in marked}:
-            if c not in self.new:
-                ids = self.old.get(c)
-                if ids is not None:
-                    self.new[c] = ids
+            if c not in new:
+                if c in old:
+                    new[c] = old[c]
                 elif WORD.fullmatch(c):
                     # One piece, which needn't be looked for: the library's model takes it as it is.
-                    self.new[c] = self.pack([t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(BYTES))])
+                    if c.isascii():  # of its bytes a space alone has another character
+                        letters = BYTES[32] + c[1:] if c[0] == " " else c
+                    else:
+                        letters = c.encode().decode("latin-1").translate(BYTES)
+                    self.new[c] = self.pack([t.id for t in self.model.tokenize(letters)])
                 else:
                     others.append(c)
         for c, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
