@@ -14,8 +14,8 @@ a pair never seen has q(vw) = 0, and after a v never seen the second part is all
 words and one unknown, P adds up to 1 at most (but for false positives of the filter).
 
 Words' counts and the filter follow the corpus. They are broadcast up to MAX_BROADCAST
-bytes; beyond it, distinct probes are dealt to the ranges, looked up there, and
-joined back to the tokens: same numbers, more shuffling.
+bytes; beyond it, chunks of texts send their distinct hashes to the ranges as packed
+blocks and get values back in that order: same numbers, more shuffling.
 
 Defined cases: null or empty text is its end token alone; without training rows
 N = V = 0; an empty table scores nothing; repeated rows count and score each; a very long
@@ -30,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import id_crc, join_rows, materialize, releasing, text_hash
+from titerloom.llm.common import give_back, id_crc, materialize, release_shuffles, releasing, text_hash
 
 PROBES = 8  # a pair never seen passes for seen once in 2 ** PROBES times
 BITS = 1.44 * PROBES  # of the filter for each entry: half of them are set
 BACKOFF = 128.0  # a word seen so often trusts its pairs as much as the single word
 MAX_BROADCAST = 256_000_000
 RANGE_TEXT = 4_000_000  # bytes of training text to a hash range
+CHUNK_TEXT = 8_000_000  # bytes of text whose hashes are looked up together, where they aren't broadcast
 SLAB = 1 << 19  # bytes of text hashed at once
 HELD = 1 << 19  # hashes a task holds before it counts them
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -150,6 +152,18 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, c
 
 
+def packed_values(c: np.ndarray) -> bytes:
+    return len(c).to_bytes(8, "little") + zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes(), 1)
+
+
+def unpacked_values(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(zlib.decompress(blob[8:]), np.uint8)
+    c = raw[:n].astype(np.int64)
+    c[c == 255] = raw[n:].view(np.int64)
+    return c
+
+
 def _count_partition(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[np.ndarray]] = {1: [], 2: []}
@@ -307,43 +321,95 @@ def count_model(train: DataFrame) -> tuple[DataFrame, int]:
     return materialize(merged, "ngrams"), bits
 
 
-def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows: int, backoff: float) -> DataFrame:
-    """score_texts() for counts too large to broadcast: probes go to the ranges."""
+def _chunk_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and token before it, of all texts."""
+    parts = [(row + first, tok, before) for first, _, row, tok, before in tokens(texts)]
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
-            for first, _, row, tok, before in tokens(batch["text"].tolist()):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[row + first].array, "thash": batch["thash"].iloc[row + first].array, "tok": tok.view(np.int64), "prior": before.view(np.int64), "pair": pair_hash(before, tok).view(np.int64)})
 
-    def looked_up(key: tuple, probes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        h = probes["h"].to_numpy().view(np.uint64)
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted; np.unique() without counts looks each up in a table, which takes many times as long."""
+    h = np.sort(h)
+    return h[np.concatenate((h[:1] == h[:1], h[1:] != h[:-1]))]
+
+
+def _asked(bits: int):
+    """A chunk's distinct words and pairs, sorted, as blocks by range."""
+
+    def run(chunk: pa.Table) -> pa.Table:
+        _, tok, before = _chunk_tokens(chunk["text"].to_pylist())
+        rows = []
+        for order, h in ((1, _distinct(tok)), (2, _distinct(pair_hash(before, tok)))):
+            cuts = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)).tolist() + [len(h)]
+            rows += [(order, k, packed(h[a:b], np.ones(b - a, np.int64))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        at = chunk["chunk"][0].as_py()
+        give_back()
+        return pa.table({"chunk": pa.array([at] * len(rows), pa.int64()), "order": pa.array([r[0] for r in rows], pa.int32()), "range": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _answers(asked: pa.Table, block: pa.Table) -> pa.Table:
+    """To each block of hashes their values, words' counts or pairs' levels, in the order asked."""
+    rows, kept = asked.num_rows, (asked["chunk"], asked["order"], asked["range"])
+    values: list[bytes] = []
+    if rows:
+        order = asked["order"][0].as_py()
         # One range alone, which every probe here is of.
-        model = Model(gathered((order, 0, n, blob) for order, n, blob in block[["order", "n", "blob"]].itertuples(index=False)), 0, 0, 0, 0)
-        value = model.counts(h) if key[0] == 1 else model.levels(h)
-        return pd.DataFrame({"order": key[0], "h": probes["h"], "value": value})
+        model = Model(gathered(zip(block["order"].to_pylist(), [0] * block.num_rows, block["n"].to_pylist(), block["blob"].to_pylist(), strict=True)), 0, 0, 0, 0)
+        parts = [unpacked(b)[0] for b in asked["blob"].to_pylist()]
+        h = np.concatenate(parts)
+        found = model.counts(h) if order == 1 else model.levels(h)
+        values = [packed_values(v) for v in np.split(found, np.cumsum([len(p) for p in parts])[:-1])]
+    return pa.table([*kept, pa.array(values, pa.binary())], names=["chunk", "order", "range", "values"])
+
+
+def _scored_chunk(n: int, v: int, rows: int, backoff: float):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        found = answers.sort_by([("order", "ascending"), ("range", "ascending")])
+        row, tok, before = _chunk_tokens(chunk["text"].to_pylist())
+        got = {1: [np.zeros(0, np.int64)], 2: [np.zeros(0, np.int64)]}
+        for order, blob in zip(found["order"].to_pylist(), found["values"].to_pylist(), strict=True):
+            got[order].append(unpacked_values(blob))
+
+        def values(order: int, h: np.ndarray) -> np.ndarray:
+            known, back = np.unique(h, return_inverse=True)
+            of = np.concatenate(got[order])
+            if len(of) != len(known):
+                raise ValueError("a chunk's texts are not those it asked for")
+            return of[back]
+
+        c = values(1, tok)
+        prior = np.empty_like(c)
+        prior[1:] = c[:-1]
+        prior[before == START] = rows
+        base, full = Model(gathered(iter(())), 0, n, v, rows, backoff).log10(c, prior, level_count(values(2, pair_hash(before, tok))))
+        size = chunk.num_rows
+        sums = {"n_tokens": np.bincount(row, minlength=size), "n_known": np.bincount(row, c > 0, size).astype(np.int64), "base_score": np.bincount(row, base, size), "score": np.bincount(row, full, size)}
+        out = pa.table({"doc_id": chunk["doc_id"], "times": chunk["times"], **sums})
+        give_back()
+        return out
+
+    return run
 
+
+def _by_join(docs: DataFrame, blocks: DataFrame, bits: int, n: int, v: int, rows: int, backoff: float) -> DataFrame:
+    """score_texts() for counts too large to broadcast. Texts are dealt to chunks; a chunk sends its distinct
+    hashes to their ranges, and gets values back in the same order. No row is made for a token."""
+    release_shuffles(docs.sparkSession)  # those of the counting
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(size / CHUNK_TEXT))
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", text_hash().alias("thash"), "text").dropDuplicates(["doc_id", "thash"])
-    toks = materialize(keyed.mapInPandas(rows_of, f"doc_id {kind}, thash long, tok long, prior long, pair long"), "tokens")
-    asked = toks.select(F.explode(F.array(F.struct(F.lit(1).alias("order"), F.col("tok").alias("h")), F.struct(F.lit(1).alias("order"), F.col("prior").alias("h")), F.struct(F.lit(2).alias("order"), F.col("pair").alias("h")))).alias("p")).select("p.*").distinct()
-    ranged = asked.withColumn("range", F.shiftrightunsigned("h", 64 - bits))
-    found = materialize(ranged.groupBy("order", "range").cogroup(blocks.groupBy("order", "range")).applyInPandas(looked_up, "order int, h long, value long").where("value > 0"), "found")
-    words, pairs = found.where("order = 1"), found.where("order = 2")
-    start = int(START.view(np.int64))
-    all_ = (
-        toks.join(words.select(F.col("h").alias("tok"), F.col("value").alias("c")), "tok", "left")
-        .join(words.select(F.col("h").alias("prior"), F.col("value").alias("b")), "prior", "left")
-        .join(pairs.select(F.col("h").alias("pair"), F.col("value").alias("q")), "pair", "left")
-    )
-    c, q = F.coalesce("c", F.lit(0)), F.coalesce("q", F.lit(0))
-    b = F.when(F.col("prior") == start, F.lit(rows)).otherwise(F.coalesce("b", F.lit(0)))
-    pair = F.when(q > 0, F.pow(F.lit(2.0), q - 1)).otherwise(0.0)
-    flat = (c + 1) / F.lit(float(n + v + 1))
-    trust = b / (b + F.lit(backoff))
-    full = trust * F.least(pair / F.greatest(b, F.lit(1)), F.lit(1.0)) + (1 - trust) * flat
-    sums = all_.groupBy("doc_id", "thash").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum((c > 0).cast("long")).alias("n_known"), F.sum(F.log10(flat)).alias("base_score"), F.sum(F.log10(full)).alias("score"))
-    return join_rows(docs.select("doc_id", text_hash().alias("thash")), sums).drop("thash")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text_hash()), F.lit(chunks)).alias("chunk"), "doc_id", text_hash().alias("thash"), "text").repartition("chunk")
+    keyed = dealt.groupBy("chunk", "doc_id", "thash").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times")).drop("thash")
+    asked = keyed.groupBy("chunk").applyInArrow(_asked(bits), "chunk long, order int, range long, blob binary")
+    found = asked.groupBy("order", "range").cogroup(blocks.groupBy("order", "range")).applyInArrow(_answers, "chunk long, order int, range long, values binary")
+    answers = materialize(found, "answers")
+    del asked, found
+    release_shuffles(docs.sparkSession)
+    scored = keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(n, v, rows, backoff), f"doc_id {kind}, times long, {SCORES}")
+    # Equal rows were scored once.
+    return scored.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("copy", "times")
 
 
 def score_language_model(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_BROADCAST, backoff: float = BACKOFF) -> DataFrame:
