@@ -25,6 +25,12 @@ class Tables:
     insights: DataFrame
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table of all markers, to be joined by merging. Its size follows the input, but files of ids and what
+    is computed from them look small enough to broadcast at millions of rows."""
+    return df.hint("merge")
+
+
 def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
 
@@ -32,7 +38,7 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 def merge_results(types: DataFrame, requests: DataFrame) -> DataFrame:
     """requests: n, source, target (type ids). n, source, target, code, reason: 404 where a type isn't there, 409
     where the requests contradict one another: a source merged twice, or into a type that is itself merged."""
-    known = lambda c: types.select(F.col("type_id").alias(c), F.lit(True).alias(f"has_{c}"))
+    known = lambda c: shuffled(types.select(F.col("type_id").alias(c), F.lit(True).alias(f"has_{c}")))
     r = requests.select("n", "source", "target").join(known("source"), "source", "left").join(known("target"), "target", "left")
     moving = requests.where("source != target").groupBy(F.col("source").alias("gone")).agg(F.min("n").alias("first"))
     twice = moving.select(F.col("gone").alias("source"), F.col("first").alias("mine"))
@@ -72,7 +78,7 @@ def resolved(names: DataFrame, tables: Tables, name: str, out: str) -> DataFrame
     """names with out: the type of that very name, else of its alias key."""
     exact = tables.types.select(F.col("name").alias("__name"), F.col("type_id").alias("__exact"))
     alias = tables.aliases.select(F.col("alias_key").alias("__key"), F.col("type_id").alias("__alias"))
-    j = names.join(exact, F.col(name) == F.col("__name"), "left").join(alias, K.alias_key(F.col(name)) == F.col("__key"), "left")
+    j = names.join(shuffled(exact), F.col(name) == F.col("__name"), "left").join(shuffled(alias), K.alias_key(F.col(name)) == F.col("__key"), "left")
     return j.withColumn(out, F.coalesce("__exact", "__alias")).drop("__name", "__exact", "__key", "__alias")
 
 
@@ -81,7 +87,7 @@ def rename_results(tables: Tables, requests: DataFrame) -> DataFrame:
     reason: 404 for an unknown name, 400 without a new one, 409 for the name of another marker, for a
     name that an earlier request takes, or for a second request of one marker."""
     found = resolved(resolved(requests.select("n", "name", "new_name"), tables, "name", "type_id"), tables, "new_name", "other")
-    j = found.join(tables.types.select("type_id", F.col("name").alias("old_name")), "type_id", "left")
+    j = found.join(shuffled(tables.types.select("type_id", F.col("name").alias("old_name"))), "type_id", "left")
     reason = F.when(F.col("type_id").isNull(), F.lit("marker not found")).when(F.col("new_name").isNull(), F.lit("name is required")).when(F.col("new_name") == F.col("old_name"), F.lit("nothing to do"))
     j = j.withColumn("reason", reason.when(F.col("other").isNotNull() & (F.col("other") != F.col("type_id")), F.lit("name exists")))
     free = F.when(F.col("reason").isNull(), F.col("n"))
