@@ -57,3 +57,27 @@ def test_snippets_and_decoration(spark, index):
     assert got[3]["filename_snippet"] == "c_d.pdf"
     one = {r["doc_id"]: r for r in T.decorated(i.search("uber", {"filename": 1.0, "raw": 1.2}), files, tags, values, ["filename", "raw"]).collect()}
     assert one[1]["raw_snippet"] == "Das Blutbild über alles, überall" and one[1]["marker_names"] == [] and one[1]["filename_snippet"] == "Über.pdf"
+
+
+def _folded_one_by_one(x):
+    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(T.WORD), F.lit(0)), T.fold), lambda t: t != "")
+
+
+def test_whole_texts_fold_as_words_do(spark):
+    texts = ["ΟΔΟΣ.α ΟΔΟΣ α ΣΑΣ", "áb ́ x-́y ́̂", "İstanbul ǅ Ⓐ Ⅻ ﬁ K x", "Ab9_c\x00D ß", "", None, "naïvé Ñ̃ 12́3"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(T.tokens(F.col("x")).alias("a"), _folded_one_by_one(F.col("x")).alias("b"), T.n_tokens(F.col("x")).alias("n"))
+    for r in df.collect():
+        assert r["a"] == r["b"] and r["n"] == (None if r["b"] is None else len(r["b"]))
+
+
+def test_refresh_writes_what_changed(spark, index, monkeypatch):
+    i, _ = index
+    monkeypatch.setattr(T, "MAX_VERSIONS", 3)
+    for k in range(2, 7):
+        i.refresh(spark.createDataFrame([(1, f"n{k}.pdf", "über neu"), (k + 100, None, "über")], DOCS), spark.createDataFrame([(k + 99,)], "doc_id long"))
+        rows = spark.read.parquet(f"{i.path}/{k}/postings").count()
+        # Five tokens changed; at the limit of versions all that hold are written: those of documents 2 and 3, too.
+        assert rows == 5 if k < 4 else rows >= 5, (k, rows)
+        assert found(i, "uber") == [1, 3, k + 100] and found(i, "моск") == [2] and found(i, "blutbild") == [] and found(i, f"n{k}") == [1]
+        assert i.postings().where("doc_id = 1").count() == 4
+        assert len({r["since"] for r in i._sizes().collect()}) <= 4

@@ -1,9 +1,10 @@
 """A full-text index in files: positional postings by column, updated by freshness, searched by prefix.
 
-Postings (bucket, token, doc_id, field, positions) lie in folders by bucket, which the first two letters
+Postings (bucket, token, doc_id, field, at) lie in folders by bucket, which the first two letters
 of a token decide: a prefix of two letters or more reads one folder, and statistics prune within it.
-Lengths (doc_id, n) are a small table beside them. An index is a folder of versions; a version is
-complete once its mark is written, and readers take the last complete one.
+Lengths (doc_id, n, since) are a small table beside them. An index is a folder of versions; a version is
+complete once its mark is written, and readers take the last complete one: its lengths say in which
+version each document's postings lie, so that bringing it up to date writes what changed.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ from titerloom.functions.keys import query_tokens
 
 #: Folders that postings are dealt to.
 BUCKETS = 64
+#: Files of a bucket, by document; versions that postings lie in at most.
+SPLITS, MAX_VERSIONS = 4, 8
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}\p{Co}\x{300}-\x{36f}]+"
+#: The same where only ASCII stands, character by character: Java looks such a class up in a bit table.
+ASCII_WORD = "[0123456789abcdefghijklmnopqrstuvwxyz]+"
+COUNTED = r"[\x{300}-\x{36f}]*[\p{L}\p{N}\p{Co}]" + WORD[:-1] + "*"
 #: Words of a snippet by field, eight for short ones.
 SNIPPET_WORDS = {"filename": 8, "tags": 8}
 
@@ -43,9 +49,21 @@ def fold(x: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(x), *_accents()), r"[\x{300}-\x{36f}]", "")
 
 
+def _ascii(x: Column) -> Column:
+    return F.char_length(x) == F.octet_length(x)
+
+
 def tokens(x: Column) -> Column:
-    """Letters and digits in a row, folded."""
-    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), fold), lambda t: t != "")
+    """Letters and digits in a row, folded. Folding leaves words words, so a text is folded whole and then cut;
+    only where lowering looks at what stands around a letter, the final sigma, words are folded one by one."""
+    cut = lambda t, word=WORD: F.regexp_extract_all(t, F.lit(word), F.lit(0))
+    one_by_one = F.filter(F.transform(cut(x), fold), lambda t: t != "")
+    return F.when(_ascii(x), cut(F.lower(x), ASCII_WORD)).when(F.contains(x, F.lit("\u03a3")), one_by_one).otherwise(cut(fold(x)))
+
+
+def n_tokens(x: Column) -> Column:
+    """The number of tokens(); a word of marks alone is none."""
+    return F.when(_ascii(x), F.regexp_count(F.lower(x), F.lit(ASCII_WORD))).otherwise(F.regexp_count(x, F.lit(COUNTED)))
 
 
 def fold_text(text: str) -> str:
@@ -65,15 +83,14 @@ def bucket(token: Column) -> Column:
 
 
 def postings(documents: DataFrame, fields: list[str]) -> DataFrame:
-    """documents: doc_id and the fields. One row for each document, field and token, with its places."""
+    """documents: doc_id and the fields. One row for each document, field and place, with its token."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])
     words = documents.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.field", F.posexplode("f.words").alias("at", "token"))
-    grouped = words.groupBy("doc_id", "field", "token").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return grouped.select(bucket(F.col("token")).alias("bucket"), "token", "doc_id", "field", "positions")
+    return words.select(bucket(F.col("token")).alias("bucket"), "token", "doc_id", "field", "at")
 
 
 def lengths(documents: DataFrame, fields: list[str]) -> DataFrame:
-    return documents.select("doc_id", sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).cast("long").alias("n"))
+    return documents.select("doc_id", sum((n_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields), F.lit(0)).cast("long").alias("n"))
 
 
 class Index:
@@ -92,38 +109,53 @@ class Index:
         done = [int(p.getName()) for p in found if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "lengths/_SUCCESS"))]
         return max(done, default=0)
 
-    def _write(self, posted: DataFrame, sizes: DataFrame) -> None:
-        """The next version; lengths are written last, and their mark completes it."""
-        at = f"{self.path}/{self.version() + 1}"
-        posted.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{at}/postings")
-        sizes.write.mode("overwrite").parquet(f"{at}/lengths")
+    def _write(self, at: int, posted: DataFrame, sizes: DataFrame) -> None:
+        """Version at; lengths are written last, and their mark completes it."""
+        # A bucket of frequent words is several tasks' work.
+        dealt = posted.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS)))
+        dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{at}/postings")
+        sizes.write.mode("overwrite").parquet(f"{self.path}/{at}/lengths")
 
     def build(self, documents: DataFrame) -> None:
-        self._write(postings(documents, self.fields), lengths(documents, self.fields))
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema("token string, doc_id long, field string, positions array<int>, bucket int").parquet(f"{self.path}/{self.version()}/postings")
+        at = self.version() + 1
+        self._write(at, postings(documents, self.fields), lengths(documents, self.fields).withColumn("since", F.lit(at)))
+
+    def _sizes(self) -> DataFrame:
+        """doc_id, n and since: the version that holds the document's postings."""
+        return self.spark.read.schema("doc_id long, n long, since int").parquet(f"{self.path}/{self.version()}/lengths")
+
+    def postings(self, some: Column | None = None) -> DataFrame:
+        """some: which of them."""
+        sizes, out = self._sizes(), None
+        for at in sorted(r["since"] for r in sizes.select("since").distinct().collect()) or [self.version()]:
+            part = self.spark.read.schema("token string, doc_id long, field string, at int, bucket int").parquet(f"{self.path}/{at}/postings").withColumn("since", F.lit(at))
+            out = part if out is None else out.unionByName(part)
+        # Of documents that changed, earlier versions' postings don't count.
+        return (out if some is None else out.where(some)).join(sizes.select("doc_id", "since"), ["doc_id", "since"], "left_semi").drop("since")
 
     def lengths(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, n long").parquet(f"{self.path}/{self.version()}/lengths")
+        return self._sizes().drop("since")
 
     def refresh(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
-        """changed: documents that are new or newer; gone: doc_ids to leave out. Other rows are taken over."""
+        """changed: documents that are new or newer; gone: doc_ids to leave out. Other rows stay where they are, until
+        they lie in MAX_VERSIONS versions: then all are written anew."""
         out = changed.select("doc_id") if gone is None else changed.select("doc_id").unionByName(gone.select("doc_id"))
         out = out.distinct()
-        kept, sizes = self.postings().join(out, "doc_id", "left_anti"), self.lengths().join(out, "doc_id", "left_anti")
-        self._write(kept.unionByName(postings(changed, self.fields)), sizes.unionByName(lengths(changed, self.fields)))
+        at, sizes, posted = self.version() + 1, self._sizes().join(out, "doc_id", "left_anti"), postings(changed, self.fields)
+        if sizes.select("since").distinct().count() >= MAX_VERSIONS:
+            posted, sizes = posted.unionByName(self.postings().join(out, "doc_id", "left_anti")), sizes.withColumn("since", F.lit(at))
+        self._write(at, posted, sizes.unionByName(lengths(changed, self.fields).withColumn("since", F.lit(at))))
 
     def matches(self, words: list[str]) -> DataFrame:
         """word (its number), doc_id, field, hits and positions of tokens that begin with a word; a word of one letter is met whole."""
         cases = F.array(*[F.when(F.startswith("token", F.lit(w)) if len(w) > 1 else F.col("token") == w, F.lit(k)) for k, w in enumerate(words)])
-        some = self.postings().where(F.col("bucket").isin(*{_bucket(w) for w in words}))
         wanted = None
         for w in words:
             this = F.startswith("token", F.lit(w)) if len(w) > 1 else F.col("token") == w
             wanted = this if wanted is None else wanted | this
-        hit = some.where(wanted).select("doc_id", "field", "positions", F.explode(F.array_compact(cases)).alias("word"))
-        return hit.groupBy("doc_id", "field", "word").agg(F.sum(F.size("positions")).alias("hits"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        some = self.postings(F.col("bucket").isin(*{_bucket(w) for w in words}) & wanted)
+        hit = some.select("doc_id", "field", "at", F.explode(F.array_compact(cases)).alias("word"))
+        return hit.groupBy("doc_id", "field", "word").agg(F.count("at").alias("hits"), F.sort_array(F.collect_list("at")).alias("positions"))
 
     def search(self, query: str, weights: dict[str, float], allowed: DataFrame | None = None) -> DataFrame:
         """doc_id, score (the smaller the better) and places (of the hits, by field) of documents with every
