@@ -28,14 +28,13 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import releasing
+from titerloom.llm.common import kept_by_worker, releasing, small_batches
 
 END = "</w>"
 #: Entries of each memo; a full one is emptied, that of chunks and pieces at its second turn.
@@ -503,7 +502,7 @@ class Encoder:
         return [int(i) for ids, _ in self.stream(text) for i in ids.split(" ")]
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
     return Encoder(path)
@@ -526,12 +525,13 @@ def digests(enc: Encoder, text: str | None) -> tuple[int, str, str]:
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         made = lambda batches: (pd.DataFrame([digests(enc, t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for batch in batches)
-        yield from releasing(made)(texts)
+        yield from releasing(made, encoder)(texts)
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 

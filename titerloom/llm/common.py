@@ -75,6 +75,17 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of rows sent to a Python worker at once. By default that is a whole task's texts (10,000 rows or
+#: 64 MB), which executor and worker hold several times over.
+BATCH_BYTES = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers BATCH_BYTES at once from now on, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def give_back() -> None:
     """Return a process's free memory to the system."""
     import pyarrow
@@ -85,11 +96,29 @@ def give_back() -> None:
         trim(0)
 
 
-def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, a function over a task's batches, after which the worker, which stays for the next
-    task, gives its free memory back."""
+#: Functions whose results a worker keeps from task to task.
+_kept: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """make, whose last results the worker keeps until a task of another operator comes to it."""
+    _kept.append(lru_cache(maxsize=2)(make))
+    return _kept[-1]
+
+
+def let_go(*own: Callable) -> None:
+    """Drop what this worker keeps but for its own, those of the operator it now serves."""
+    for cached in _kept:
+        if cached not in own:
+            cached.cache_clear()
+
+
+def releasing(run: Callable[[Iterator], Iterator], *own: Callable) -> Callable[[Iterator], Iterator]:
+    """run, a function over a task's batches, before which the worker, which stays for the next
+    task, drops what others than its own have kept there, and after which it gives its free memory back."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        let_go(*own)
         try:
             yield from run(batches)
         finally:

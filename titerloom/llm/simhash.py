@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from titerloom.llm.common import materialize, releasing, text_hash
+from titerloom.llm.common import materialize, releasing, small_batches, text_hash
 from titerloom.llm.graph import components
 from titerloom.llm.shingle_sets import OF, band_keys, set_links, set_name, shingles, sketch
 
@@ -230,6 +230,7 @@ def similar_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a 5-word Jaccard similarity of 0.8 or more. Links of fingerprints within the radius come
     first; as similar sets lie up to FAR bits apart, bands find the others, and the whole
     sets decide on each (shingle_sets)."""
+    small_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", text_hash().alias("thash"), _signatures("text").alias("s")).select("doc_id", "thash", "s.*"), "signatures")
     classes = materialize(rows.groupBy("skey").agg(F.min(F.struct("thash", *OF, "bands")).alias("c")).select("skey", "c.*"), "set-classes")
     named = materialize(classes.groupBy("fp").agg(F.min("skey").alias("name")), "named-fingerprints")

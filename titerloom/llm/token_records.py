@@ -31,7 +31,6 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from titerloom.llm.common import give_back, text_hash
+from titerloom.llm.common import give_back, kept_by_worker, let_go, text_hash
 
 FORMAT = "token_records"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -165,7 +164,7 @@ class Encoder:
             lo = hi
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -193,6 +192,7 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
         """A shard and its index, under names no other attempt has."""
+        let_go(encoder)
         enc = encoder(self.tokenizer)
         width, tail = enc.type.itemsize, b"" if self.end is None else enc.pack([self.end])
         task = TaskContext.get()

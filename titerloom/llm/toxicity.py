@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerloom.llm.common import give_back, id_crc, materialize, releasing, text_hash
+from titerloom.llm.common import give_back, id_crc, materialize, releasing, small_batches, text_hash
 
 MAX_TRAIN = 20_000
 VOTERS = 200
@@ -176,7 +176,7 @@ def train_model(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows:
         for batch in batches:
             yield pd.DataFrame({"x": [v.vector(t).tobytes() for t in batch["text"]], "toxic": batch["toxic"]})
 
-    rows = train.mapInPandas(vectors, "x binary, toxic int").toPandas()
+    rows = train.mapInPandas(releasing(vectors), "x binary, toxic int").toPandas()
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
     # Rows come in no fixed order: sorted, sums round alike each time.
     order = np.lexsort((rows["toxic"].to_numpy(), x @ np.linspace(1, 2, x.shape[1])))
@@ -190,6 +190,7 @@ def train_model(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
     """All columns of docs with toxicity (0 to 1) and toxic (0, 1) in place of any of those names."""
+    small_batches(docs.sparkSession)
     model = train_model(docs, labels, held_out, max_rows)
     kept = [c for c in docs.columns if c.lower() not in ("toxicity", "toxic")]
     if model is None:
