@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Written tables after which finished shuffles are given up.
-RELEASE_EVERY = 4
+RELEASE_EVERY = 2
 _tables = itertools.count(1)
 
 

@@ -10,7 +10,8 @@ counted many times. Classifier: logistic regression on the voters' firings and
 counts, fitted to the label model's posteriors, scores whole texts.
 
 Training reads a bounded sample: at most MAX_TRAIN labelled rows, chosen by a hash
-of id and text, and at most VOTERS voters; scoring reads every text in one pass over
+of id and text, and at most VOTERS voters; the driver gets the voters that fire on each row
+and how often, never whole vectors. Scoring reads every text in one pass over
 the table without a shuffle.
 
 Defined cases: null or empty text fires no voter and is scored like any text
@@ -117,47 +118,86 @@ class Voters:
         return out, len(words)
 
     def vector(self, text: str | None) -> np.ndarray:
-        """Firings, then counts on a log scale, then the share of words that lexicon voters hit."""
         count, n = self.count(text)
-        fired = count > 0
-        lexicon = count[: len(self.names) - len(PATTERNS)]
-        return np.concatenate((fired, np.log1p(count), [np.log1p(lexicon.sum()), lexicon.sum() / max(n, 1)])).astype(np.float32)
+        return vectors_of(count, np.float32(n))
+
+    def row(self, text: str | None) -> tuple[int, bytes, bytes]:
+        """What vector() is made of: the number of words, and which voters fire how often."""
+        count, n = self.count(text)
+        at = np.flatnonzero(count)
+        return n, at.astype(np.uint32).tobytes(), count[at].tobytes()
+
+
+def vectors_of(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Along the last axis: firings, then counts on a log scale, then the share of words that lexicon voters hit."""
+    lexicon = count[..., : count.shape[-1] - len(PATTERNS)].sum(-1, keepdims=True)
+    return np.concatenate((count > 0, np.log1p(count), np.log1p(lexicon), lexicon / np.maximum(n, np.float32(1))), axis=-1).astype(np.float32)
+
+
+class TrainingRows:
+    """Vectors kept as the counts that Voters.row() gives, of which a text has few; a slice is made when asked for."""
+
+    def __init__(self, rows: pd.DataFrame, voters: int):
+        self.n = rows["n"].to_numpy(np.float32)
+        self.ends = np.concatenate(([0], np.cumsum(rows["at"].map(len).to_numpy() // 4)))
+        self.at = np.frombuffer(b"".join(rows["at"]), np.uint32)
+        self.times = np.frombuffer(b"".join(rows["times"]), np.float32)
+        self.shape = len(rows), 2 * voters + 2
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def counts(self, part: slice) -> np.ndarray:
+        ends = self.ends[part.start : min(part.stop, len(self)) + 1]
+        out = np.zeros((len(ends) - 1, self.shape[1] // 2 - 1), np.float32)
+        out[np.repeat(np.arange(len(out)), np.diff(ends)), self.at[ends[0] : ends[-1]]] = self.times[ends[0] : ends[-1]]
+        return out
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return vectors_of(self.counts(part), self.n[part, None])
+
+    def fired(self) -> np.ndarray:
+        return np.concatenate([self.counts(part) > 0 for part in slices(self)])
+
+
+def slices(rows: np.ndarray | TrainingRows) -> list[slice]:
+    return [slice(at, at + STEP) for at in range(0, len(rows), STEP)]
 
 
 def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior of class 1 for each row of firings. start: first guess at it (the labels)."""
-    x = fired.astype(np.float32)
     post = 0.9 * start + 0.05
-    weight = np.ones(x.shape[1])
+    weight, part_of = np.ones(fired.shape[1]), lambda part: fired[part].astype(np.float64)
     for k in range(rounds):
         m1, m0 = post.sum(), (1 - post).sum()
-        p1, p0 = (post @ x + 0.5) / (m1 + 1), ((1 - post) @ x + 0.5) / (m0 + 1)
-        prior = m1 / len(x)
+        p1, p0 = ((sum(p[part] @ part_of(part) for part in slices(fired)) + 0.5) / (m + 1) for p, m in ((post, m1), (1 - post, m0)))
+        prior = m1 / len(fired)
         if k == 2:  # correlations given the class, once accuracies are about right
-            together = np.zeros((x.shape[1], x.shape[1]))
-            for at in range(0, len(x), STEP):
-                p = post[at : at + STEP]
+            together = np.zeros((len(weight), len(weight)))
+            for part in slices(fired):
+                p = post[part]
                 mean = np.outer(p, p1) + np.outer(1 - p, p0)
-                r = (x[at : at + STEP] - mean) / np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
+                r = (part_of(part) - mean) / np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
                 together += r.T @ r
-            weight = 1 / np.maximum((np.clip(together / len(x), 0, 1) * (1 - np.eye(x.shape[1]))).sum(0) + 1, 1)
+            weight = 1 / np.maximum((np.clip(together / len(fired), 0, 1) * (1 - np.eye(len(weight)))).sum(0) + 1, 1)
         yes, no = np.log(p1 / p0) * weight, np.log((1 - p1) / (1 - p0)) * weight
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + x @ yes + (1 - x) @ no, -30, 30)))
+        says = np.concatenate([(x := part_of(part)) @ yes + (1 - x) @ no for part in slices(fired)])
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + says, -30, 30)))
     return post, {"fires_toxic": p1, "fires_clean": p0, "weight": weight, "prior": prior}
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
+def fit_linear(x: np.ndarray | TrainingRows, y: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the bias."""
     k = x.shape[1] + 1
     w, keep = np.zeros(k), np.full(k, ridge)
     keep[-1] = 1e-3
     for _ in range(rounds):
         bend, slope = np.diag(keep), -keep * w
-        for at in range(0, len(x), STEP):
-            part = np.hstack((x[at : at + STEP].astype(np.float64), np.ones((len(x[at : at + STEP]), 1))))
+        for at in slices(x):
+            part = np.hstack((x[at].astype(np.float64), np.ones((len(y[at]), 1))))
             p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
             bend += (part * (p * (1 - p))[:, None]).T @ part
-            slope += part.T @ (y[at : at + STEP] - p)
+            slope += part.T @ (y[at] - p)
         step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -171,17 +211,16 @@ def train_model(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows:
     if not names:
         return None
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Voters(names)
         for batch in batches:
-            yield pd.DataFrame({"x": [v.vector(t).tobytes() for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame([v.row(t) for t in batch["text"]], columns=["n", "at", "times"]).assign(toxic=batch["toxic"].to_numpy())
 
-    rows = train.mapInPandas(releasing(vectors), "x binary, toxic int").toPandas()
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
+    rows = train.mapInPandas(releasing(counted), "n long, at binary, times binary, toxic int").toPandas()
     # Rows come in no fixed order: sorted, sums round alike each time.
-    order = np.lexsort((rows["toxic"].to_numpy(), x @ np.linspace(1, 2, x.shape[1])))
-    x, y = x[order], rows["toxic"].to_numpy(np.float64)[order]
-    posterior, _ = label_model(x[:, : len(names) + len(PATTERNS)] > 0, y)
+    rows = rows.sort_values(["at", "times", "n", "toxic"], ignore_index=True)
+    x, y = TrainingRows(rows, len(names) + len(PATTERNS)), rows["toxic"].to_numpy(np.float64)
+    posterior, _ = label_model(x.fired(), y)
     weights = fit_linear(x, posterior)
     del rows, x
     give_back()
